@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dialoglens.llm.labelled import fold, training_rows
 from dialoglens.llm.storage import Scratch
-from dialoglens.llm.textops import parts
+from dialoglens.llm.textops import Memo, parts
 
 WORD = re.compile(r"\w+")
 
@@ -29,10 +29,11 @@ WORD = re.compile(r"\w+")
 class Settings:
     """``max_labelled`` bounds the examples, ``max_terms`` the vector space; searches and counts cover all documents."""
 
-    max_labelled: int = 16384
+    max_labelled: int = 8192
     max_terms: int = 4096
-    least_docs: int = 4
-    least_chi2: float = 10.83
+    least_docs: int = 8
+    least_chi2: float = 40.0
+    stems: tuple[int, ...] = (4, 6)
     neighbours: int = 32
     block: int = 64
     softening: float = 0.05
@@ -43,14 +44,28 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def forms(word: str, stems: tuple[int, ...]) -> list[str]:
+    """A word's terms: itself and its first letters, marked with a star, so that inflected forms meet."""
+    return [word, *(word[:k] + "*" for k in stems if len(word) >= k)]
+
+
+def places(place: dict[str, int], stems: tuple[int, ...]) -> Memo:
+    """Words to the numbers of their terms that span the vector space."""
+    return Memo(lambda w: tuple(place[t] for t in forms(w, stems) if t in place))
+
+
+def terms_of(text: str | None, known: Memo) -> list[int]:
+    return [i for found in map(known.__getitem__, words(text)) if found for i in found]
+
+
 def telling_terms(sample: DataFrame, s: Settings) -> list[str]:
-    """The ``max_terms`` words whose presence depends most on the label, by chi-squared over the sample."""
+    """The ``max_terms`` words and stems whose presence depends most on the label, by chi-squared over the sample."""
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             found: Counter = Counter()
             for t, y in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
-                found.update((w, int(y > 0)) for w in set(words(t)))
+                found.update((w, int(y > 0)) for w in {f for w in set(words(t)) for f in forms(w, s.stems)})
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "label", "n"])
 
     totals = sample.agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n")).first()
@@ -66,17 +81,17 @@ def telling_terms(sample: DataFrame, s: Settings) -> list[str]:
     return sorted(r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(s.max_terms).select("term").collect())
 
 
-def document_frequencies(docs: DataFrame, place: dict[str, int]) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, place: dict[str, int], stems: tuple[int, ...]) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents. Tasks send a row for each term at most."""
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, known = np.zeros(len(shared.value) + 1, dtype=np.int64), 0, shared.value.keys()
+        df, n, known = np.zeros(len(shared.value) + 1, dtype=np.int64), 0, places(shared.value, stems)
         for part in parts(batches):
             for t in part.column("text").to_pylist():
                 n += 1
-                for w in known & words(t):
-                    df[shared.value[w]] += 1
+                for i in set(terms_of(t, known)):
+                    df[i] += 1
         df[-1] = n
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(df[met])], ["term", "n"])
@@ -87,14 +102,12 @@ def document_frequencies(docs: DataFrame, place: dict[str, int]) -> tuple[np.nda
     return out[:-1], int(out[-1])
 
 
-def vector(text: str | None, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None, known: Memo, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and unit-length weights (1 + ln tf) * idf; empty if the text has none of the terms."""
-    tf = Counter(w for w in words(text) if w in place)
-    terms = np.array(sorted(place[w] for w in tf), dtype=np.int64)
+    terms, tf = np.unique(np.array(terms_of(text, known), dtype=np.int64), return_counts=True)
     if not len(terms):
         return terms, np.empty(0)
-    by_place = {place[w]: 1 + math.log(k) for w, k in tf.items()}
-    weights = np.array([by_place[t] for t in terms]) * idf[terms]
+    weights = (1 + np.log(tf)) * idf[terms]
     return terms, weights / np.linalg.norm(weights)
 
 
@@ -196,13 +209,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     sample = Scratch(spark, "toxicity").save(training_rows(docs, labels, label, s.max_labelled).select("doc_id", "label", "text"), "sample")
     terms = telling_terms(sample, s)
     place = {w: i for i, w in enumerate(terms)}
-    df, n = document_frequencies(docs, place) if terms else (np.zeros(0, np.int64), 0)
+    df, n = document_frequencies(docs, place, s.stems) if terms else (np.zeros(0, np.int64), 0)
     idf = np.log((1 + n) / (1 + df)) + 1
     space = spark.sparkContext.broadcast((place, idf))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = places(space.value[0], s.stems), space.value[1]
         for part in parts(batches):
-            rows = [vector(t, *space.value) for t in part.column("text").to_pylist()]
+            rows = [vector(t, known, idf) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
 
     examples = sample.mapInArrow(vectors, "doc_id long, label int, terms array<long>, weights array<double>").toArrow().to_pylist()
@@ -213,10 +227,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     shared = spark.sparkContext.broadcast(index)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = places(space.value[0], s.stems), space.value[1]
         for part in parts(batches):
             votes = []
             for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found, cos = shared.value.search(*vector(t, *space.value), s.neighbours, doc)
+                found, cos = shared.value.search(*vector(t, known, idf), s.neighbours, doc)
                 votes.append(shared.value.vote(found, cos, prior, s.softening) if len(found) else None)
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(votes, pa.float64())], ["doc_id", "label", "vote"])
 
@@ -227,12 +242,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, idf = space.value
-        ix = shared.value
+        known, idf, ix = places(space.value[0], s.stems), space.value[1], shared.value
         for part in parts(batches):
             p, count, evidence = [], [], []
             for t in part.column("text").to_pylist():
-                found, cos = ix.search(*vector(t, place, idf), s.neighbours)
+                found, cos = ix.search(*vector(t, known, idf), s.neighbours)
                 p.append(calibration.of(ix.vote(found, cos, prior, s.softening) if len(found) else None))
                 count.append(len(found))
                 evidence.append([(int(ix.ids[i]), float(c), int(ix.labels[i])) for i, c in zip(found[: s.evidence], cos, strict=False)])
