@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dialoglens.llm.compression_rules import quality_rules
+from dialoglens.llm.kmeans_tree import nearest
+from dialoglens.llm.mixing import mixed_sample
 from dialoglens.llm.packing import pack
 from dialoglens.llm.quality_classifier import quality_scores
 from dialoglens.llm.token_counts import token_counts
@@ -30,6 +32,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sample(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,12 +53,16 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, shared_urls(pages))
 
 
+def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").decode())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op4_compression_rules, op6_token_counts, op7_url_filters, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_toxicity, op4_compression_rules, op6_token_counts, op7_url_filters, op8_kmeans_tree, op9_packing)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
