@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dialoglens.llm.compression_rules import quality_rules
+from dialoglens.llm.jaccard_join import jaccard_join
 from dialoglens.llm.kmeans_tree import nearest
 from dialoglens.llm.mixing import mixed_sample
 from dialoglens.llm.packing import pack
@@ -61,8 +62,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").decode())
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_toxicity, op4_compression_rules, op6_token_counts, op7_url_filters, op8_kmeans_tree, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_toxicity, op4_compression_rules, op6_token_counts, op7_url_filters, op8_kmeans_tree, op9_packing, op10_jaccard_join)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
