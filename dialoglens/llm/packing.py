@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,24 +20,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialoglens.llm.storage import Scratch
-from dialoglens.llm.textops import Memo, parts, words_of
+from dialoglens.llm.textops import parts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_encoders: dict[int, Memo] = {}
+AFTER_LETTER = re.compile(rb"(?<=[a-z])([.,])")
+_encoders: dict[int, Encoder] = {}
 
 
-def encoder(spec: str) -> Memo:
-    """Words to their ids as little-endian 32-bit integers, kept for all tasks of a worker.
+class Encoder:
+    """Texts to ids as little-endian 32-bit integers, through a bounded memory of words.
 
-    For tokenizers that drop white space: a text's ids are then those of its words, one after another.
+    For tokenizers that lower-case, drop white space and end a word where letters end: a text's ids are then
+    those of its words, one after another, and a full stop or comma behind a letter may stand alone. Texts
+    that may hold a special token's name keep their case.
     """
-    key = zlib.crc32(spec.encode())
-    if key not in _encoders:
+
+    def __init__(self, spec: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_str(spec)
-        _encoders[key] = Memo(lambda w: np.array(model.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes(), 300_000)
+        self.model, self.limit, self.known = Tokenizer.from_str(spec), limit, {}
+
+    @staticmethod
+    def words(text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = text.encode("utf-8", "replace")
+        return AFTER_LETTER.sub(rb" \1", raw if b"<|" in raw else raw.lower()).split()
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        every = [self.words(t) for t in texts]
+        if len(self.known) > self.limit:
+            self.known = {}
+        new = sorted(set().union(*every) - self.known.keys())
+        found = self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        return [b"".join(map(self.known.__getitem__, w)) for w in every]
+
+
+def encoder(spec: str) -> Encoder:
+    """One for all tasks of a worker."""
+    key = zlib.crc32(spec.encode())
+    if key not in _encoders:
+        _encoders[key] = Encoder(spec)
     return _encoders[key]
 
 
@@ -46,11 +72,11 @@ def pieces(docs: DataFrame, spec: str, window: int = 4096, end_id: int = 2, id_c
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(shared.value)
+        encode = encoder(shared.value)
         for part in parts(batches):
             rows = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, words_of(text, lower=False))) + end
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encode.ids(part.column("text").to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dialoglens.llm.compact_windows import repeated_passages
 from dialoglens.llm.compression_rules import quality_rules
 from dialoglens.llm.jaccard_join import jaccard_join
 from dialoglens.llm.kmeans_tree import nearest
@@ -45,6 +46,10 @@ def op4_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -67,7 +72,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_toxicity, op4_compression_rules, op6_token_counts, op7_url_filters, op8_kmeans_tree, op9_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_toxicity, op4_compression_rules, op5_compact_windows, op6_token_counts, op7_url_filters, op8_kmeans_tree, op9_packing, op10_jaccard_join)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
