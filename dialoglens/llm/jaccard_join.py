@@ -94,32 +94,22 @@ def ordered_sets(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         got = gathered(table, KINDS)
-        first, size = runs(got["keys"])
+        _, size = runs(got["keys"])
         df = np.repeat(size, size)
         many = df > 1
-        keys, doc, df = got["keys"][many], got["doc"][many], df[many].astype(np.int64)
-        by = np.argsort(doc, kind="stable")
-        keys, doc, df = keys[by], doc[by], df[by]
-        first, size = runs(doc)
-        cut = [(a, a + n) for a, n in zip(first, size, strict=True)]
-        return pa.table({"doc_id": doc[first], "keys": pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), "dfs": pa.array([df[a:b].tobytes() for a, b in cut], pa.binary())})
-
-    found = dealt(sets, "keys", ranges).groupBy("bucket").applyInArrow(count, "doc_id long, keys binary, dfs binary")
-    whole = found.groupBy("doc_id").agg(F.collect_list(F.struct("keys", "dfs")).alias("cuts")).join(sets.select("doc_id", "n"), "doc_id")
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                keys = np.frombuffer(b"".join(c["keys"] for c in row["cuts"]), np.uint64)
-                dfs = np.frombuffer(b"".join(c["dfs"] for c in row["cuts"]), np.int64)
-                if len(keys) >= row["n"] - spare(row["n"], percent):
-                    by = np.lexsort((keys, dfs))
-                    rows.append((row["doc_id"], row["n"], keys[by].tobytes(), dfs[by].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "n", "keys", "dfs"])
-
-    return whole.select("doc_id", "n", "cuts").mapInArrow(order, "doc_id long, n long, keys binary, dfs binary")
+        doc = got["doc"][many]
+        return pa.Table.from_batches([blobs(mixed(doc.view(np.uint64)), {"doc": doc, "key": got["keys"][many], "df": df[many].astype(np.int64)}, ranges)])
+
+    def order(table: pa.Table) -> pa.Table:
+        got = gathered(table, {"keys": "u8", "doc": "i8", "df": "i8", "key": "u8"})
+        first, size = runs(got["doc"])
+        cut = [(x, x + n) for x, n in zip(first, size, strict=True)]
+        return pa.table({"doc_id": got["doc"][first], "keys": pa.array([got["key"][x:y].tobytes() for x, y in cut], pa.binary()), "dfs": pa.array([got["df"][x:y].tobytes() for x, y in cut], pa.binary())})
+
+    by_key = dealt(sets, "keys", ranges).groupBy("bucket").applyInArrow(count, "bucket long, keys binary, doc binary, key binary, df binary")
+    by_doc = by_key.groupBy("bucket").applyInArrow(order, "doc_id long, keys binary, dfs binary")
+    enough = F.octet_length("keys") / 8 >= F.col("n") - F.floor(F.col("n") * (100 - percent) / 100)
+    return by_doc.join(sets.select("doc_id", "n"), "doc_id").where(enough).select("doc_id", "n", "keys", "dfs")
 
 
 def prefix_edges(ordered: DataFrame, percent: int) -> DataFrame:

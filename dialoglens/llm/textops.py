@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,3 +88,24 @@ def shingles(words: list[bytes], memo: Memo, width: int = 5) -> np.ndarray:
     if len(words) >= width:
         return windows(h, width)
     return mixed(windows(h, len(words)) + np.uint64(len(words)))
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of (first, number) spans and the white space behind them; '' if no word is left."""
+    words = [m.span() for m in WORD.finditer(text)]
+    gone = np.zeros(len(words) + 1, dtype=np.int64)
+    for first, n in spans:
+        gone[first] += 1
+        gone[min(first + n, len(words))] -= 1
+    gone = np.cumsum(gone)[: len(words)] > 0
+    if gone.all():
+        return ""
+    out, at = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        out.append(text[at : words[a][0]])
+        at = words[b][0] if b < len(words) else len(text)
+    return "".join([*out, text[at:]])
