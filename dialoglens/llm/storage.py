@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; only where none is set (tests, local mode) a temporary one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='dialoglens-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
