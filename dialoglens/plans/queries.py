@@ -53,11 +53,14 @@ QA_SQL = """, marked AS (
 )"""
 
 
+def pairs_sql(text: str) -> str:
+    """All pairs of neighbours: those that begin at odd places, then those at even ones."""
+    return f"list_concat(regexp_extract_all({text}, '(?s)..'), regexp_extract_all(substr({text}, 2), '(?s)..'))"
+
+
 def tokens_sql(text: str) -> str:
-    return (
-        f"list_distinct(list_concat(regexp_extract_all(lower({text}), '[0-9A-Za-z가-힣]{{2,}}'), "
-        f"list_transform(range(1, length(regexp_replace({text}, '\\s+', '', 'g'))), lambda i: substr(regexp_replace({text}, '\\s+', '', 'g'), i::INT, 2))))"
-    )
+    compact = f"regexp_replace({text}, '\\s+', '', 'g')"
+    return f"list_distinct(list_concat(regexp_extract_all(lower({text}), '[0-9A-Za-z가-힣]{{2,}}'), {pairs_sql(compact)}))"
 
 
 @query(f"{QA_SQL} SELECT call_id, turn_index, question, answer FROM v_qa")
@@ -375,7 +378,7 @@ def word_chunks(spark, sf_dir):
     return retrieval.chunked(views.table(spark, sf_dir, "documents"), "doc_id", "text").select("source_id", "level", "content", "token_count")
 
 
-TERMS_SQL = "list_concat(list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda x: x <> ''), list_filter(list_transform(range(1, length({t})), lambda i: substr({t}, i::INT, 2)), lambda x: NOT regexp_matches(x, '^\\s*$')))"
+TERMS_SQL = "list_concat(list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda x: x <> ''), list_filter(" + pairs_sql("{t}") + ", lambda x: NOT regexp_matches(x, '^\\s*$')))"
 BM25_SQL = f""", dt AS (SELECT doc_id, {TERMS_SQL.format(t="text")} AS ts FROM documents
 ), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM dt
 ), qt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS_SQL.format(t="text")}) AS term FROM benchmark) GROUP BY 1, 2
