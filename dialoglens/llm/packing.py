@@ -35,7 +35,7 @@ class Encoder:
     that may hold a special token's name keep their case.
     """
 
-    def __init__(self, spec: str, limit: int = 400_000):
+    def __init__(self, spec: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,8 +53,11 @@ class Encoder:
         if len(self.known) > self.limit:
             self.known = {}
         new = sorted(set().union(*every) - self.known.keys())
-        found = self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        # the tokenizer's own results are large, so few words at a time
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
+            found = self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found, strict=True))
         return [b"".join(map(self.known.__getitem__, w)) for w in every]
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that a task holds as Python objects at a time (a single longer text is still whole).
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 
 def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
