@@ -26,7 +26,7 @@ def blobs(keys: np.ndarray, columns: dict[str, np.ndarray], ranges: int) -> pa.R
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-    ends = np.append(edges[1:], len(bucket))
+    ends = np.append(edges[1:], len(bucket))[: len(edges)]
     every = {"keys": keys, **columns}
     cut = [pa.array([x[order[a:b]].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary()) for x in every.values()]
     return pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int64()), *cut], ["bucket", *every])
