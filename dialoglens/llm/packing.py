@@ -35,7 +35,7 @@ class Encoder:
     that may hold a special token's name keep their case.
     """
 
-    def __init__(self, spec: str, limit: int = 200_000):
+    def __init__(self, spec: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

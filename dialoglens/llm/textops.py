@@ -33,7 +33,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 class Memo(dict):
     """Remembers ``make(key)``; empties itself at ``limit`` keys so that memory stays bounded."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 100_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -44,7 +44,7 @@ class Memo(dict):
         return value
 
 
-def word_memo(limit: int = 400_000) -> Memo:
+def word_memo(limit: int = 100_000) -> Memo:
     return Memo(xxhash.xxh3_64_intdigest, limit)
 
 
