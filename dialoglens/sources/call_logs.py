@@ -87,8 +87,9 @@ def read_call_logs(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) ->
 
 def quarantined(spark: SparkSession, folder: str) -> DataFrame:
     """``path`` of the JSON logs that can't be read."""
-    raw = spark.read.schema(JSON).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
-    return raw.select(F.col("_metadata.file_path").alias("path"), "_corrupt_record").where("_corrupt_record is not null").select("path")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
+    read = F.from_json("value", JSON, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return raw.select(F.col("_metadata.file_path").alias("path"), read.alias("r")).where("r._corrupt_record is not null").select("path")
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
