@@ -127,6 +127,30 @@ def test_repeated_passages_are_found(spark):
     assert (one["start_word"], one["n_words"], one["source_start"]) == (90, 70, 40)
 
 
+def template_texts(n):
+    """Texts of one template of 120 words with six slots, in words of their own: only some of any two match."""
+    rng = random.Random(11)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(120)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for slot in (8, 28, 48, 68, 88, 108):
+            t[slot] = f"s{slot}v{rng.randrange(20)}"
+        out.append(" ".join([f"a{i}x{k}" for k in range(30)] + t + [f"z{i}x{k}" for k in range(30)]))
+    return out
+
+
+def test_template_texts_lose_no_repeat(spark):
+    from dialoglens.llm.compact_windows import Settings, passages
+    from dialoglens.llm.textops import shingles, word_memo, words_of
+
+    texts = template_texts(150)
+    own = [shingles(words_of(t), word_memo()) for t in texts]
+    want = {b for b in range(len(own)) if any(passages(own[b], own[a], Settings()) for a in range(b))}
+    got = repeated_passages(table(spark, *texts)).collect()
+    assert {r["doc_id"] for r in got} >= want and all(r["source_doc_id"] < r["doc_id"] for r in got)
+
+
 def test_url_filter_matches_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
