@@ -127,6 +127,24 @@ def test_repeated_passages_are_found(spark):
     assert (one["start_word"], one["n_words"], one["source_start"]) == (90, 70, 40)
 
 
+def test_near_passage_beside_a_shared_line():
+    from dialoglens.llm.compact_windows import Settings, passages
+    from dialoglens.llm.textops import shingles, word_memo, words_of
+
+    def verified(own, source):
+        return passages(*(shingles(words_of(" ".join(t)), word_memo()) for t in (own, source)), Settings())
+
+    near, line, other = ([f"{c}{i}" for i in range(60)] for c in "plo")
+    changed = [*near[:30], "changed", *near[31:]]
+    # a line that the source holds elsewhere stands six words behind the passage
+    got = verified(changed + other[:6] + line[:12], line[:12] + other[20:50] + near)
+    assert [(a, n, c, m) for a, n, c, m, _ in got] == [(0, 56, 42, 56)] and got[0][4] == 51 / 61
+    # two near passages side by side that lie apart in the source
+    second = [f"q{i}" for i in range(60)]
+    got = verified(changed + [*second[:25], "new", *second[26:]], second + other[:40] + near)
+    assert [(a, n) for a, n, *_ in got] == [(0, 56), (60, 56)]
+
+
 def template_texts(n):
     """Texts of one template of 120 words with six slots, in words of their own: only some of any two match."""
     rng = random.Random(11)
