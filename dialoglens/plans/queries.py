@@ -436,11 +436,13 @@ def judge_batches(spark, sf_dir):
     return judged(turns.question_answer_pairs(views.turns(spark, sf_dir)), OverlapJudge(), ("answer_relevance", "context_recall"))
 
 
-@query()
+@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, avg(value) AS mean
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, event_type NULLS FIRST, value NULLS FIRST) AS nth FROM events WHERE ts IS NOT NULL)
+WHERE nth = 1 GROUP BY 1, 2""")
 def score_stream(spark, sf_dir):
-    from dialoglens.streaming.scores import daily_means_once
+    from dialoglens.streaming.scores import daily_means_of
 
-    return daily_means_once(spark, sf_dir)
+    return daily_means_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 @query()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +37,12 @@ def upsert_stream(events: DataFrame, path: str, keys: list[str], order: str, che
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_means_once(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs ``daily_means`` over what is there, to its end, and returns the table that it wrote.
+def daily_means_of(table: DataFrame) -> DataFrame:
+    """``day, event_type, n, mean`` over a whole table, whatever the order of its rows; no day is left open.
 
-    The last days stay open until the watermark passes them; so they are in no result yet.
+    A repeated id counts once, by its first row in order of time, type and value. Rows without a time have no day.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    home = f"{base}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    out = daily_means(event_stream(spark, folder))
-    run = out.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{home}/out")
+    rows = table.where(F.col("ts").isNotNull())
+    once = rows.groupBy("event_id").agg(F.min(F.struct("ts", "event_type", "value")).alias("e"))
+    days = once.groupBy(F.to_date("e.ts").alias("day"), F.col("e.event_type").alias("event_type"))
+    return days.agg(F.count(F.lit(1)).alias("n"), F.avg("e.value").alias("mean"))

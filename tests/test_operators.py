@@ -180,3 +180,10 @@ def test_options():
     with pytest.raises(ValueError):
         Options().switched(enable=["nothing.here"])
     assert lookup({"a": {"b": 1}}, "a.b") == 1 and lookup({}, "a.b", 2) == 2 and merged({"a": {"x": 1, "y": 2}}, {"a": {"x": 3}}) == {"a": {"x": 3, "y": 2}}
+
+
+def test_score_stream_covers_its_table(spark, sf):
+    from dialoglens.plans.queries import QUERIES
+
+    events = spark.read.parquet(f"{sf}/events.parquet").where("ts is not null")
+    assert QUERIES["score_stream"](spark, sf).agg(F.sum("n")).first()[0] == events.select("event_id").distinct().count()
