@@ -13,9 +13,9 @@ import pyarrow as pa
 RANGE = 400_000
 
 
-def n_ranges(postings: int) -> int:
+def n_ranges(postings: int, each: int = RANGE) -> int:
     n = 16
-    while n * RANGE < postings:
+    while n * each < postings:
         n *= 2
     return n
 

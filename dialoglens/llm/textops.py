@@ -69,6 +69,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Multiplier of the word hash, odd, so that it has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+#: A value for each byte; the second table takes A-Z as a-z.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+LOWERED = BYTES[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Bytes of text whose words are hashed at a time.
+PAGE = 1 << 19
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1 modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(max(n, PAGE), base, dtype=np.uint64)
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column, and where each row's begin (one entry more than rows); nulls are empty."""
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return held, at - at[0]
+
+
+def word_places(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all rows start and end in ``data``; no word reaches over a row's end."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    space = SPACE[data]
+    before, after = np.ones(len(data) + 1, bool), np.ones(len(data) + 1, bool)
+    before[1:], after[:-1] = space, space
+    before[rows] = after[rows] = True
+    return np.flatnonzero(~space & before[:-1]), np.flatnonzero(~space & after[1:]) + 1
+
+
+def hashed_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows in order, and each row's number of words.
+
+    Words are those of ``words_of``. The hash is a polynomial in table values of the bytes, read off running
+    sums over all bytes at once, so no word becomes a Python object.
+    """
+    data, rows = raw_bytes(column)
+    first, end = word_places(data, rows)
+    return hashes_at(data, first, end, lower), np.diff(np.searchsorted(first, rows))
+
+
+def hashes_at(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    out = np.empty(len(first), dtype=np.uint64)
+    table = LOWERED if lower else BYTES
+    cuts = np.flatnonzero(np.diff(first // PAGE, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(first))[: len(cuts)], strict=True):
+        base, top = first[a], end[b - 1]
+        sums = np.zeros(top - base + 1, dtype=np.uint64)
+        np.cumsum(table[data[base:top]] * powers(BASE, top - base), out=sums[1:])
+        x, y = first[a:b] - base, end[a:b] - base
+        back = powers(pow(BASE, -1, 1 << 64), top - base)[x]
+        out[a:b] = mixed((sums[y] - sums[x]) * back + (y - x).astype(np.uint64))
+    return out
+
+
+def row_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``width``-word shingles of all rows in order, and each row's number of them.
+
+    A row with fewer words, but one at least, has one: the hash of the whole sequence.
+    """
+    words, n = hashed_words(column)
+    every = windows(words, width)
+    first = np.cumsum(n) - n
+    size = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    short = np.flatnonzero((n > 0) & (n < width))
+    out = np.append(every, np.zeros(width, np.uint64))[np.minimum(at, len(every))]
+    out[(np.cumsum(size) - size)[short]] = [mixed(windows(words[first[i] : first[i] + n[i]], int(n[i])) + np.uint64(n[i]))[0] for i in short]
+    return out, size
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each window of ``width`` consecutive word hashes."""
     n = len(hashes) - width + 1
