@@ -98,14 +98,16 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def word_places(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of all rows start and end in ``data``; no word reaches over a row's end."""
+def word_places(data: np.ndarray, rows: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all rows start and end in ``data``; no word reaches over a row's end or a place in ``cuts``."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     space = SPACE[data]
     before, after = np.ones(len(data) + 1, bool), np.ones(len(data) + 1, bool)
     before[1:], after[:-1] = space, space
     before[rows] = after[rows] = True
+    if cuts is not None:
+        before[cuts] = after[cuts] = True
     return np.flatnonzero(~space & before[:-1]), np.flatnonzero(~space & after[1:]) + 1
 
 
