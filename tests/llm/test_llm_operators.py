@@ -206,6 +206,15 @@ def test_nearest_odd(spark):
     assert nearest(v.limit(0)).count() == 0
 
 
+def test_nearest_extremes(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [1.0, 0.1]), (3, [2.0, 0.2]), (50, [1e200, 0.0]), (51, [1.0, 0.0, 0.0]), (52, [3.0, 0.3])]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 12)))
+    cos = round(1 / np.sqrt(1.01), 12)
+    assert got == {0: [(50, 1.0), (2, cos), (3, cos), (52, cos), (1, round(0.5**0.5, 12))], 50: [(0, 1.0), (2, cos), (3, cos), (52, cos), (1, round(0.5**0.5, 12))]}
+
+
 def test_packing_round_trip(spark, sf):
     from tokenizers import Tokenizer
 
