@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -223,20 +224,20 @@ class Slots:
         return self.sequence[at] + rank - self.first[at], self.offset[at]
 
 
-def pack(docs: DataFrame, spec: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", ranked: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, spec: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces with the sequence and offset they are packed at.
 
     ``spec`` is the JSON of a tokenizer (a fixed file of a few megabytes). Columns:
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, then ``padded_length``: what the
     sequence is padded to, ``window`` unless its tokens number a power of two. Null and empty texts are one
     piece with ``end_id`` alone; repeated rows are packed each; extra columns are not read; an empty table
-    gives no rows. Ranks are dealt over groups of about ``ranked`` pieces within each length, so that a length
-    which many documents share is not ranked in one task.
+    gives no rows. Ranks are dealt over groups within each length, as many as the square root of the commonest
+    length's pieces, so that a length which many documents share is not ranked in one task.
     """
     spark = docs.sparkSession
     cut = Scratch(spark, "packing").save(pieces(docs, spec, window, end_id, id_col, text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
-    salts = -(-max(histogram.values(), default=1) // ranked)
+    salts = math.isqrt(max(histogram.values(), default=1))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     plan = patterns(histogram, window)
