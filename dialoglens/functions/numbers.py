@@ -29,6 +29,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.when(na == 0, 1.0).otherwise(na) * F.when(nb == 0, 1.0).otherwise(nb))
 
 
+def exact_mean(score: Column) -> Column:
+    """The mean of scores in whole billionths: their sum is exact, so it doesn't depend on the order of rows."""
+    return F.sum(F.round(score * 1e9, 0).cast("decimal(19,0)")).cast("double") / F.count(score) / 1e9
+
+
 def five_bins(score: Column) -> Column:
     """0 to 4, the nearest quarter, halves to even."""
     return F.least(F.lit(4), F.greatest(F.lit(0), F.bround(score * 4, 0).cast("int")))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Fixed value: a token is two or more of these characters.
 TOKEN = "[0-9A-Za-z가-힣]{2,}"
 PAIR = r"(?s)(?=(..))"
+#: A pair that isn't all white space.
+SOLID_PAIR = r"(?s)(?=(\S.|\s\S))"
 
 
 def strip(text: Column) -> Column:
@@ -41,7 +43,7 @@ def token_set(text: Column) -> Column:
 def search_terms(text: Column) -> Column:
     """Lower-cased words, then pairs of the text as it is (pairs of white space left out); repeats stay."""
     t = F.coalesce(text, F.lit(""))
-    return F.concat(words(F.lower(t)), F.filter(pairs(t), lambda p: ~p.rlike(r"^\s*$")))
+    return F.concat(words(F.lower(t)), F.regexp_extract_all(t, F.lit(SOLID_PAIR), F.lit(1)))
 
 
 def overlap(a: Column, b: Column) -> Column:

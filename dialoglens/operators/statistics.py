@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialoglens.config import DIAGNOSES, Diagnosis, Routing
-from dialoglens.functions.numbers import draw, five_bins, threshold
+from dialoglens.functions.numbers import draw, exact_mean, five_bins, threshold
 
 
 def below_sla() -> Column:
@@ -40,7 +40,7 @@ def by_group(scores: DataFrame, evaluations: DataFrame) -> DataFrame:
     rows = scores.join(evaluations.select("eval_id", "call_id", "tenant_id", F.to_date("evaluated_at").alias("day")), "eval_id")
     rows = rows.withColumn("below", below_sla().cast("long"))
     sets = rows.groupingSets([["call_id"], ["tenant_id"], ["day"], []], "call_id", "tenant_id", "day")
-    out = sets.agg(F.grouping_id().alias("gid"), F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"), F.sum("below").alias("below"))
+    out = sets.agg(F.grouping_id().alias("gid"), exact_mean(F.col("score")).alias("mean"), F.count(F.lit(1)).alias("n"), F.sum("below").alias("below"))
     level = F.when(F.col("gid") == 3, "call").when(F.col("gid") == 5, "tenant").when(F.col("gid") == 6, "day").otherwise("all")
     return out.select(level.alias("grouping"), "call_id", "tenant_id", "day", "mean", "n", "below")
 
@@ -160,13 +160,8 @@ def ppi_mean(everything: DataFrame, labelled: DataFrame, samples: int = 1000, le
     return both.select((F.col("naive") + F.col("mean")).alias("point"), (F.col("naive") + F.col("low")).alias("ci_low"), (F.col("naive") + F.col("high")).alias("ci_high"), F.col("n").alias("n_labelled"), "n_total", "naive")
 
 
-def average_rank(value: str) -> Column:
-    """Ranks from 1, ties sharing the mean of theirs."""
-    return F.rank().over(Window.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2
-
-
 def ranks_by_value(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """As ``average_rank``, from counts of distinct values, so that rows themselves aren't ordered in one task."""
+    """Ranks from 1, ties sharing the mean of theirs, from counts of distinct values, so that rows themselves aren't ordered in one task."""
     counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
     ranks = counts.select(value, (F.sum("c").over(Window.orderBy(value)) - (F.col("c") - 1) / 2).alias(out))
     return rows.join(ranks, value)

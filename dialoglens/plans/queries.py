@@ -30,6 +30,10 @@ def query(sql: str | None = None):
     return register
 
 
+#: The mean of scores in whole billionths, as ``exact_mean``: the same bits in any order of rows.
+EXACT = "sum(round(score * 1e9)::BIGINT)::DOUBLE / count(score) / 1e9"
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -89,11 +93,11 @@ def sla_summary(spark, sf_dir):
     return rounded(statistics.sla_summary(views.scores(spark, sf_dir)), "mean", "median", "p10", "p90", "sla_pass_rate")
 
 
-@query("""SELECT CASE WHEN grouping(call_id) = 0 THEN 'call' WHEN grouping(tenant_id) = 0 THEN 'tenant' WHEN grouping(day) = 0 THEN 'day' ELSE 'all' END AS grouping,
-  call_id, tenant_id, day, round(avg(score), 6) AS mean, count(*) AS n, sum((score < sla)::BIGINT)::BIGINT AS below
+@query(f"""SELECT CASE WHEN grouping(call_id) = 0 THEN 'call' WHEN grouping(tenant_id) = 0 THEN 'tenant' WHEN grouping(day) = 0 THEN 'day' ELSE 'all' END AS grouping,
+  call_id, tenant_id, day, {EXACT} AS mean, count(*) AS n, sum((score < sla)::BIGINT)::BIGINT AS below
   FROM (SELECT s.*, e.call_id, e.tenant_id, e.evaluated_at::DATE AS day FROM v_sla s JOIN v_eval e USING (eval_id)) GROUP BY GROUPING SETS ((call_id), (tenant_id), (day), ())""")
 def sla_group_by(spark, sf_dir):
-    return rounded(statistics.by_group(views.scores(spark, sf_dir), views.evaluations(spark, sf_dir)), "mean")
+    return statistics.by_group(views.scores(spark, sf_dir), views.evaluations(spark, sf_dir))
 
 
 @query("SELECT DISTINCT call_id FROM v_eval JOIN v_sla USING (eval_id) WHERE score < sla")
@@ -154,32 +158,32 @@ def resume_pending(spark, sf_dir):
 
 
 def trend_sql(bucket: str) -> str:
-    return f"SELECT tenant_id, {bucket} AS bucket, metric, round(avg(score), 6) AS avg_score, count(DISTINCT eval_id) AS n, min(evaluated_at) AS first_at FROM v_eval JOIN v_scores USING (eval_id) WHERE level = 'turn' GROUP BY 1, 2, 3"
+    return f"SELECT tenant_id, {bucket} AS bucket, metric, {EXACT} AS avg_score, count(DISTINCT eval_id) AS n, min(evaluated_at) AS first_at FROM v_eval JOIN v_scores USING (eval_id) WHERE level = 'turn' GROUP BY 1, 2, 3"
 
 
 @query(trend_sql("strftime(evaluated_at, '%Y-%m-%d')"))
 def tenant_trends_day(spark, sf_dir):
-    return rounded(served.trends(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir), "day"), "avg_score")
+    return served.trends(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir), "day")
 
 
 @query(trend_sql("run_id"))
 def tenant_trends_run(spark, sf_dir):
-    return rounded(served.trends(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir), "run"), "avg_score")
+    return served.trends(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir), "run")
 
 
-MEANS_SQL = ", means AS (SELECT run_id, metric, avg(score) AS mean, count(*) AS n FROM v_eval JOIN v_scores USING (eval_id) GROUP BY 1, 2)"
+MEANS_SQL = f", means AS (SELECT run_id, metric, {EXACT} AS mean, count(*) AS n FROM v_eval JOIN v_scores USING (eval_id) GROUP BY 1, 2)"
 
 
-@query(f"{MEANS_SQL} SELECT run_id, metric, round(mean, 6) AS mean, n FROM means")
+@query(f"{MEANS_SQL} SELECT run_id, metric, mean, n FROM means")
 def run_trends(spark, sf_dir):
-    return rounded(served.run_means(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir)), "mean")
+    return served.run_means(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir))
 
 
 @query(f"""{MEANS_SQL}, runs AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS before FROM (SELECT DISTINCT run_id FROM means))
-SELECT m.run_id, m.metric, round(m.mean, 6) AS mean, round(p.mean, 6) AS previous, round(m.mean - p.mean, 6) AS delta, m.mean - p.mean < -0.05 AS is_regression
+SELECT m.run_id, m.metric, m.mean, p.mean AS previous, m.mean - p.mean AS delta, m.mean - p.mean < -0.05 AS is_regression
 FROM means m JOIN runs r ON m.run_id = r.run_id JOIN means p ON p.run_id = r.before AND p.metric = m.metric""")
 def previous_run_delta(spark, sf_dir):
-    return rounded(served.run_deltas(served.run_means(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir))), "mean", "previous", "delta")
+    return served.run_deltas(served.run_means(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir)))
 
 
 @query("SELECT tenant_id, tenant_id::VARCHAR AS name, count(DISTINCT call_id) AS conversation_count, count(*) FILTER (level = 'turn' AND review_status = 'pending') AS pending_review_count FROM v_eval GROUP BY tenant_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialoglens.functions.numbers import exact_mean
 from dialoglens.operators.statistics import below_sla, flagged_calls
 
 AGREED = ("approved", "overridden")
@@ -77,7 +78,7 @@ def trends(evaluations: DataFrame, scores: DataFrame, by: str = "day", date_from
     bucket = F.date_format("evaluated_at", "yyyy-MM-dd") if by == "day" else F.col("run_id")
     rows = rows.select("eval_id", "tenant_id", bucket.alias("bucket"), "evaluated_at").join(scores.select("eval_id", "metric", "score"), "eval_id")
     # a row for each evaluation and metric: rows count evaluations
-    return rows.groupBy("tenant_id", "bucket", "metric").agg(F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("n"), F.min("evaluated_at").alias("first_at"))
+    return rows.groupBy("tenant_id", "bucket", "metric").agg(exact_mean(F.col("score")).alias("avg_score"), F.count(F.lit(1)).alias("n"), F.min("evaluated_at").alias("first_at"))
 
 
 def trend_points(points: DataFrame, metrics: list[str]) -> DataFrame:
@@ -88,7 +89,7 @@ def trend_points(points: DataFrame, metrics: list[str]) -> DataFrame:
 def run_means(evaluations: DataFrame, scores: DataFrame) -> DataFrame:
     """``run_id, metric, mean, n``."""
     rows = scores.select("eval_id", "metric", "score").join(evaluations.select("eval_id", "run_id"), "eval_id")
-    return rows.groupBy("run_id", "metric").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("run_id", "metric").agg(exact_mean(F.col("score")).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def run_deltas(means: DataFrame, limit: float = 0.05) -> DataFrame:
