@@ -75,6 +75,39 @@ def test_rules(spark):
     assert r[2]["n_repeat_words"] == 80 and r[2]["base_failed"] and r[0]["word_chars"] == sum(map(len, dup.split()))
 
 
+def test_compression_bands_against_plain_python(spark):
+    import base64
+    import math
+
+    import zstandard
+
+    from dialoglens.llm.compression_rules import Bands
+
+    rng = random.Random(8)
+    letters = "etaoinshrdlu"
+    lexicon = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = [" ".join(rng.choice(lexicon) for _ in range(rng.randrange(180, 300))) for _ in range(120)]
+    noise = [" ".join(base64.b64encode(rng.randbytes(45)).decode() for _ in range(25)) for _ in range(4)]
+    few = [" ".join(rng.choice(lexicon[:2]) + "!" for _ in range(300)) for _ in range(4)]
+    half = [" ".join(rng.choice(lexicon) for _ in range(200)) + " " + "ab " * 1500 for _ in range(4)]
+    texts = prose + noise + few + half
+    got = {r["doc_id"]: r for r in quality_rules(table(spark, *texts)).collect()}
+    assert all(got[i]["verdict"] == "kept" for i in range(len(prose)))
+    assert [got[i]["verdict"] for i in range(len(prose), len(prose) + 4)] == ["incompressible"] * 4
+    assert all(got[i]["verdict"] in ("repetitive", "base") for i in range(len(prose) + 4, len(texts)))
+    press, bands = zstandard.ZstdCompressor(level=3), Bands()
+    ratio = [len(press.compress(t.encode())) / len(t.encode()) for t in texts]
+    kind = [len(t).bit_length() - 1 for t in texts]
+    for i, t in enumerate(texts):
+        assert got[i]["ratio"] == ratio[i]
+        own = sorted(math.log(r) for r, k in zip(ratio, kind) if k == kind[i])
+        low, high = (own[math.ceil(p * len(own)) - 1] for p in (0.25, 0.75))
+        far = bands.fence * max(high - low, bands.spread)
+        out = "repetitive" if math.log(ratio[i]) < low - far else "incompressible" if math.log(ratio[i]) > high + far else None
+        if not got[i]["base_failed"]:
+            assert (got[i]["verdict"] if got[i]["verdict"] in ("repetitive", "incompressible") else None) == out
+
+
 def sets_of(texts):
     out = []
     for t in texts:
