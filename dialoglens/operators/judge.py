@@ -7,6 +7,7 @@ can't be read as a score becomes a row with score 0 and a parse error as its rea
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -15,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoglens.config import Calibration
 
 ANCHORS = "Scale: 1.0 fully right and grounded, 0.5 partly, 0.0 wrong, off the point or made up.\n"
 PLAIN = "\nJudge content and grounds alone; length and style earn nothing."
@@ -26,15 +26,20 @@ class Provider(Protocol):
     def complete(self, prompts: Sequence[str]) -> list[str]: ...
 
 
+#: What each metric asks: which of the parts is looked for in which.
+ASKS = {"faithfulness": ("Answer", "Contexts"), "answer_relevance": ("Answer", "Question"), "context_precision": ("Contexts", "Question"), "context_recall": ("Question", "Contexts")}
+PARTS = ("Metric", "Question", "Contexts", "Answer")
+
+
 class OverlapJudge:
-    """An offline provider: the share of the answer's words that its prompt's question holds."""
+    """An offline provider: the share of one part's words that another holds, as the prompt's metric asks."""
 
     def complete(self, prompts: Sequence[str]) -> list[str]:
         out = []
         for p in prompts:
-            question, _, answer = p.partition("\nAnswer: ")
-            words = set(answer.lower().split())
-            known = set(question.lower().split())
+            part = dict(re.findall(r"(?ms)^<(\w+)>(.*?)</\1>$", p))
+            of, among = ASKS.get(part.get("Metric", ""), ASKS["answer_relevance"])
+            words, known = (set(part.get(x, "").lower().split()) for x in (of, among))
             out.append(json.dumps({"score": len(words & known) / len(words) if words else 0.0, "reasoning": "shared words"}))
         return out
 
@@ -48,10 +53,13 @@ def read_score(raw: str | None) -> tuple[float, str]:
         return 0.0, f"Parse error: {str(raw)[:80]}"
 
 
-def decorated(prompt, cfg: Calibration = Calibration()):
-    """A prompt column with anchors ahead and the note on length behind, as the options say."""
-    parts = ([F.lit(ANCHORS)] if cfg.use_anchors else []) + [prompt] + ([F.lit(PLAIN)] if cfg.length_normalize else [])
-    return F.concat(*parts)
+def prompt_for(pairs: DataFrame, anchors: bool = True, length_note: bool = True):
+    """A prompt column: metric, question, contexts (empty if the pairs have none) and answer in marked parts,
+    anchors of the scale ahead and the note on length behind."""
+    contexts = F.coalesce(F.col("contexts_text"), F.lit("")) if "contexts_text" in pairs.columns else F.lit("")
+    held = dict(zip(PARTS, (F.col("metric"), F.col("question"), contexts, F.col("answer")), strict=True))
+    body = F.concat_ws("\n", *(F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>")) for name, x in held.items()))
+    return F.concat(*([F.lit(ANCHORS)] if anchors else []), body, *([F.lit(PLAIN)] if length_note else []))
 
 
 def judged(pairs: DataFrame, provider: Provider, metrics: Sequence[str], samples: int = 1, batch: int = 64, retries: int = 3, wait: float = 1.0, budget: int | None = None) -> DataFrame:
@@ -60,8 +68,8 @@ def judged(pairs: DataFrame, provider: Provider, metrics: Sequence[str], samples
     A batch that fails is tried again with growing waits, then recorded as failed. ``budget`` bounds the prompt
     words of a task; what lies beyond is recorded as skipped, so that no row is lost.
     """
-    each = pairs.select("qa_id", F.concat(F.lit("Question: "), F.col("question"), F.lit("\nAnswer: "), F.col("answer")).alias("prompt"))
-    each = each.withColumn("metric", F.explode(F.array(*map(F.lit, metrics)))).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    each = pairs.withColumn("metric", F.explode(F.array(*map(F.lit, metrics)))).withColumn("prompt", prompt_for(pairs))
+    each = each.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
 
     def ask(prompts: list[str]) -> list[str | None]:
         for turn in range(retries + 1):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialoglens.config import DIAGNOSES, Diagnosis, Routing
+from dialoglens.config import DIAGNOSES, SLA
 from dialoglens.functions.numbers import draw, exact_mean, five_bins, threshold
 
 
@@ -35,6 +35,11 @@ def flagged_calls(scores: DataFrame, evaluations: DataFrame) -> DataFrame:
     return evaluations.join(scores.where(below_sla()).select("eval_id"), "eval_id", "left_semi").select("call_id").distinct()
 
 
+def flagged_pairs(scores: DataFrame, key: str = "qa_id") -> DataFrame:
+    """``key`` of what has any score below its SLA."""
+    return scores.where(below_sla()).select(key).distinct()
+
+
 def by_group(scores: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Means and SLA passes by call, by tenant, by day and overall, in one pass (``grouping`` names the level)."""
     rows = scores.join(evaluations.select("eval_id", "call_id", "tenant_id", F.to_date("evaluated_at").alias("day")), "eval_id")
@@ -45,26 +50,26 @@ def by_group(scores: DataFrame, evaluations: DataFrame) -> DataFrame:
     return out.select(level.alias("grouping"), "call_id", "tenant_id", "day", "mean", "n", "below")
 
 
-def diagnosed(scores: DataFrame, cfg: Diagnosis = Diagnosis()) -> DataFrame:
+def diagnosed(scores: DataFrame, faithful_from: float = SLA["faithfulness"], recalled_from: float = SLA["context_recall"]) -> DataFrame:
     """``eval_id, category``: which of retrieval and generation failed; a metric without a score counts as good."""
     pivot = scores.groupBy("eval_id").agg(*(F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in ("faithfulness", "context_recall")))
-    faithful = F.coalesce(F.col("faithfulness") >= cfg.faithfulness_threshold, F.lit(True))
-    recalled = F.coalesce(F.col("context_recall") >= cfg.recall_threshold, F.lit(True))
+    faithful = F.coalesce(F.col("faithfulness") >= faithful_from, F.lit(True))
+    recalled = F.coalesce(F.col("context_recall") >= recalled_from, F.lit(True))
     kind = F.when(faithful & recalled, DIAGNOSES[0]).when(faithful, DIAGNOSES[1]).when(recalled, DIAGNOSES[2]).otherwise(DIAGNOSES[3])
     return pivot.select("eval_id", kind.alias("category"))
 
 
-def diagnosis_counts(scores: DataFrame, cfg: Diagnosis = Diagnosis()) -> DataFrame:
+def diagnosis_counts(scores: DataFrame, **limits: float) -> DataFrame:
     """``category, n`` with all four categories."""
     every = scores.sparkSession.createDataFrame([(d,) for d in DIAGNOSES], "category string")
-    found = diagnosed(scores, cfg).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    found = diagnosed(scores, **limits).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     return every.join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def review_priority(scores: DataFrame, cfg: Routing = Routing()) -> DataFrame:
+def review_priority(scores: DataFrame, margin: float = 0.1) -> DataFrame:
     """``eval_id, priority``: doubt plus nearness to the SLA, a mean over the evaluation's metrics."""
     off = F.abs(F.col("score") - threshold(F.col("metric"), None))
-    near = F.when(off < cfg.boundary, (cfg.boundary - off) * 10).otherwise(0.0)
+    near = F.when(off < margin, (margin - off) * 10).otherwise(0.0)
     doubt = 1 - F.col("confidence") + F.when(F.col("is_low_confidence"), 0.5).otherwise(0.0)
     return scores.groupBy("eval_id").agg((F.sum(doubt + near) / F.count(F.lit(1))).alias("priority"))
 

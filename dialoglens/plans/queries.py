@@ -433,11 +433,85 @@ def evidence_sentence_counts(spark, sf_dir):
     return views.turns(spark, sf_dir).select("call_id", "turn_id", F.size(evidence_sentences(F.col("content"))).cast("long").alias("n_sentences"))
 
 
-@query()
+def judge_word_sql(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""{QA_SQL}, tr AS (SELECT call_id, string_agg('[' || upper(role) || '] ' || content, chr(10) ORDER BY turn_id) AS c FROM v_turns GROUP BY call_id
+), w AS (SELECT q.call_id, turn_index, {judge_word_sql("question")} AS q, {judge_word_sql("answer")} AS a, {judge_word_sql("c")} AS c FROM v_qa q JOIN tr USING (call_id)
+), m AS (SELECT call_id, turn_index, unnest(['faithfulness', 'answer_relevance', 'context_precision', 'context_recall']) AS metric, unnest([a, a, c, q]) AS of_, unnest([c, q, q, c]) AS among FROM w)
+SELECT call_id, turn_index, metric, CASE WHEN len(of_) = 0 THEN 0::DOUBLE ELSE len(list_intersect(of_, among)) / len(of_) END AS score FROM m""")
 def judge_batches(spark, sf_dir):
+    from dialoglens.config import METRICS
     from dialoglens.operators.judge import OverlapJudge, judged
 
-    return judged(turns.question_answer_pairs(views.turns(spark, sf_dir)), OverlapJudge(), ("answer_relevance", "context_recall"))
+    rows = views.turns(spark, sf_dir)
+    pairs = turns.question_answer_pairs(rows).join(turns.transcripts(rows).withColumnRenamed("transcript", "contexts_text"), "call_id")
+    return judged(pairs, OverlapJudge(), METRICS).join(pairs.select("qa_id", "call_id", "turn_index"), "qa_id").select("call_id", "turn_index", "metric", "score")
+
+
+@query("""SELECT run_id, count(*) AS n_evaluations, count(DISTINCT call_id) AS n_calls, min(evaluated_at) AS started_at, run_id = (SELECT max(run_id) FROM v_eval) AS is_latest FROM v_eval GROUP BY run_id""")
+def run_list(spark, sf_dir):
+    return served.runs(views.evaluations(spark, sf_dir))
+
+
+@query(f"SELECT {EVAL}, evaluated_at, row_number() OVER (PARTITION BY tenant_id ORDER BY evaluated_at DESC, eval_id) AS place FROM v_eval QUALIFY place <= 25")
+def tenant_page(spark, sf_dir):
+    return served.latest_of_tenants(views.evaluations(spark, sf_dir), 25).select(*EVAL_COLUMNS, "evaluated_at", "place")
+
+
+@query("SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY turn_id) AS place, role, content FROM v_turns")
+def conversation_turns(spark, sf_dir):
+    return turns.in_order(views.turns(spark, sf_dir)).select("call_id", "place", "role", "content")
+
+
+DIAGNOSED_SQL = """, p AS (SELECT eval_id, coalesce(max(score) FILTER (metric = 'faithfulness') >= 0.8, true) AS f, coalesce(max(score) FILTER (metric = 'context_recall') >= 0.7, true) AS r FROM v_scores GROUP BY eval_id)"""
+
+
+@query(f"{DIAGNOSED_SQL} SELECT {EVAL} FROM v_eval JOIN p USING (eval_id) WHERE f AND NOT r")
+def evals_by_diagnosis(spark, sf_dir):
+    return served.with_diagnosis(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir), "retrieval_failure").select(EVAL_COLUMNS)
+
+
+@query(f"SELECT {EVAL} FROM v_eval WHERE (run_id, call_id) IN (SELECT e.run_id, e.call_id FROM v_eval e JOIN v_sla s USING (eval_id) WHERE score < sla)")
+def evals_flagged_by_run(spark, sf_dir):
+    ev, scores = views.evaluations(spark, sf_dir), views.scores(spark, sf_dir)
+    low = scores.where(statistics.below_sla()).join(ev, "eval_id").groupBy("run_id").agg(F.to_json(F.collect_set(F.col("call_id").cast("string"))).alias("flagged_json"))
+    return served.flagged_by_summary(ev, low).select(EVAL_COLUMNS)
+
+
+@query("""SELECT call_id, unnest(['resolution', 'efficiency', 'escalation_handling']) AS metric,
+  unnest([coalesce(r, resolved::INT::DOUBLE), coalesce(e, 1), CASE WHEN needed THEN 0 ELSE 1 END::DOUBLE]) AS score
+  FROM (SELECT call_id, bool_or(review_status = 'approved') AS resolved, NULL::DOUBLE AS r, CASE WHEN count(*) > 12 THEN 0.5 END::DOUBLE AS e, bool_or(review_status = 'skipped') AS needed FROM v_eval GROUP BY call_id)""")
+def session_scores(spark, sf_dir):
+    by = views.evaluations(spark, sf_dir).groupBy("call_id").agg(
+        F.bool_or(F.col("review_status") == "approved").alias("resolved"), F.lit(None).cast("double").alias("resolution_score"),
+        F.when(F.count(F.lit(1)) > 12, 0.5).alias("efficiency_score"), F.bool_or(F.col("review_status") == "skipped").alias("escalation_needed"))
+    return scoring.session_scores(by)
+
+
+@query("""SELECT eval_id, count(*) FILTER (score >= 0.6) / count(*) AS score, count(*) AS n_claims, count(*) FILTER (score < 0.3) AS n_contradicted,
+  count(*) FILTER (score >= 0.3 AND score < 0.6) AS n_unsupported FROM v_scores WHERE metric IS NOT NULL GROUP BY eval_id""")
+def claim_scores(spark, sf_dir):
+    """Each evaluation's metrics as claims, and verdicts from their scores; what is said in between has no verdict."""
+    rows = views.scores(spark, sf_dir).where("metric is not null")
+    claims = rows.groupBy("eval_id").agg(F.collect_list("metric").alias("claims"))
+    verdict = F.when(F.col("score") >= 0.6, "supported").when(F.col("score") < 0.3, "contradicted").otherwise("unclear")
+    return scoring.claim_faithfulness(claims, rows.select("eval_id", F.concat(F.lit(" "), "metric").alias("claim"), verdict.alias("verdict"), F.lit(0).alias("place")), "eval_id")
+
+
+@query("SELECT eval_id, count(*) FILTER (score >= 0.5) / count(*) AS score, count(*) AS n_nuggets, count(*) FILTER (score >= 0.5) AS n_found FROM v_scores WHERE metric IS NOT NULL GROUP BY eval_id")
+def nugget_scores(spark, sf_dir):
+    rows = views.scores(spark, sf_dir).where("metric is not null")
+    nuggets = rows.groupBy("eval_id").agg(F.collect_list("metric").alias("nuggets"))
+    return scoring.nugget_recall(nuggets, rows.select("eval_id", F.col("metric").alias("nugget"), (F.col("score") >= 0.5).alias("found"), F.lit(0).alias("place")), "eval_id")
+
+
+@query("SELECT call_id, CASE WHEN n < 2 THEN 1 ELSE (call_id % 3 <> 0)::INT END::DOUBLE AS score FROM (SELECT call_id, count(*) FILTER (role = 'bot') AS n FROM v_turns GROUP BY call_id)")
+def consistency_scores(spark, sf_dir):
+    answers = turns.session_shape(views.turns(spark, sf_dir)).select("call_id", F.col("bot_turns").alias("n_answers"))
+    judged = answers.select("call_id", F.lit(None).cast("double").alias("score"), (F.col("call_id") % 3 != 0).alias("consistent"))
+    return scoring.consistency(answers, judged)
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, avg(value) AS mean
@@ -453,4 +527,4 @@ def score_stream(spark, sf_dir):
 def audit_report(spark, sf_dir):
     from dialoglens.plans.audit import audit
 
-    return audit(spark, views.turns(spark, sf_dir)).summary
+    return audit(views.turns(spark, sf_dir)).summary

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialoglens.functions.numbers import exact_mean
-from dialoglens.operators.statistics import below_sla, flagged_calls
+from dialoglens.operators.statistics import below_sla, diagnosed, flagged_calls
 
 AGREED = ("approved", "overridden")
 TOLERANCE = 0.13
@@ -101,6 +101,24 @@ def run_deltas(means: DataFrame, limit: float = 0.05) -> DataFrame:
     return both.select("run_id", "metric", "mean", "previous", "delta", (F.col("delta") < -limit).alias("is_regression"))
 
 
+def runs(evaluations: DataFrame) -> DataFrame:
+    """``run_id, n_evaluations, n_calls, started_at, is_latest``; the latest run has the largest id."""
+    out = evaluations.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_evaluations"), F.countDistinct("call_id").alias("n_calls"), F.min("evaluated_at").alias("started_at"))
+    last = evaluations.agg(F.max("run_id").alias("last"))
+    return out.crossJoin(F.broadcast(last)).select("run_id", "n_evaluations", "n_calls", "started_at", (F.col("run_id") == F.col("last")).alias("is_latest"))  # one row
+
+
+def latest_of_tenants(evaluations: DataFrame, limit: int) -> DataFrame:
+    """Each tenant's ``limit`` latest evaluations with their ``place`` from 1; equal times by id."""
+    order = Window.partitionBy("tenant_id").orderBy(F.desc("evaluated_at"), "eval_id")
+    return evaluations.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+
+
+def with_diagnosis(evaluations: DataFrame, scores: DataFrame, category: str) -> DataFrame:
+    """Evaluations of one diagnosis."""
+    return evaluations.join(diagnosed(scores).where(F.col("category") == category).select("eval_id"), "eval_id", "left_semi")
+
+
 def tenants(evaluations: DataFrame, names: dict[int, str] | None = None) -> DataFrame:
     """``tenant_id, name, conversation_count, pending_review_count``."""
     pending = F.count_if((F.col("level") == "turn") & (F.col("review_status") == "pending"))

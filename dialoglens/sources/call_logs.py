@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialoglens.config import Ingest
 from dialoglens.functions.text import stem, strip
 
 ROLES = ("user", "bot", "system")
@@ -35,7 +34,7 @@ def known_roles(turns: DataFrame) -> DataFrame:
     return turns.withColumn("bad_", bad).where("bad_ = 0").drop("bad_")
 
 
-def read_json(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) -> DataFrame:
+def read_json(spark: SparkSession, folder: str, shortest: int = 5) -> DataFrame:
     raw = spark.read.schema(JSON).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
     raw = raw.select("*", F.col("_metadata.file_path").alias("path")).where("_corrupt_record is null")
     rows = raw.select(
@@ -45,12 +44,12 @@ def read_json(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) -> DataF
         moment(F.col("ended_at")).alias("ended_at"),
         F.posexplode("turns").alias("turn_id", "t"),
         "path",
-    ).where(F.length(F.coalesce("t.content", F.lit(""))) >= cfg.min_turn_length)
+    ).where(F.length(F.coalesce("t.content", F.lit(""))) >= shortest)
     rows = rows.withColumns({"role": F.coalesce("t.role", F.lit("user")), "content": strip(F.col("t.content")), "said_at": moment(F.col("t.timestamp"))})
     return known_roles(rows).select(COLUMNS)
 
 
-def read_csv(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) -> DataFrame:
+def read_csv(spark: SparkSession, folder: str, shortest: int = 5) -> DataFrame:
     """Ids come from a file's first row; the row's place in its file is the turn's number."""
     whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("multiLine", True).option("escape", '"')
     raw = whole.schema("call_id string, subscriber_id string, timestamp string, role string, content string").csv(folder)
@@ -58,20 +57,20 @@ def read_csv(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) -> DataFr
     raw = raw.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
     w = Window.partitionBy("path").orderBy("at")
     rows = raw.withColumns({"turn_id": F.row_number().over(w) - 1, "call": F.first("call_id").over(w), "subscriber": F.first("subscriber_id").over(w), "content": strip(F.coalesce("content", F.lit("")))})
-    rows = rows.where(F.length("content") >= cfg.min_turn_length).select(
+    rows = rows.where(F.length("content") >= shortest).select(
         F.coalesce("call", stem(F.col("path"))).alias("call_id"), F.coalesce("subscriber", F.lit("unknown")).alias("subscriber_id"), F.lit(None).cast("timestamp").alias("started_at"),
         F.lit(None).cast("timestamp").alias("ended_at"), "turn_id", F.coalesce("role", F.lit("user")).alias("role"), "content", moment(F.col("timestamp")).alias("said_at"), "path",
     )
     return known_roles(rows).select(COLUMNS)
 
 
-def read_text(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) -> DataFrame:
+def read_text(spark: SparkSession, folder: str, shortest: int = 5) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("wholetext", True).text(folder)
     lines = raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("at", "line")).withColumn("line", strip(F.col("line")))
     header = F.col("line").rlike(HEADER)
     ids = lines.where(header).groupBy("path").agg(F.max_by("line", "at").alias("h"))
     said = lines.where(~header & F.col("line").rlike(TURN)).withColumn("content", strip(F.regexp_extract("line", TURN, 3)))
-    said = said.where(F.length("content") >= cfg.min_turn_length).withColumn("turn_id", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1)
+    said = said.where(F.length("content") >= shortest).withColumn("turn_id", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1)
     rows = said.join(ids, "path", "left")
     return rows.select(
         F.coalesce(strip(F.regexp_extract("h", HEADER, 1)), stem(F.col("path"))).alias("call_id"), F.coalesce(strip(F.regexp_extract("h", HEADER, 2)), F.lit("unknown")).alias("subscriber_id"),
@@ -80,9 +79,9 @@ def read_text(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) -> DataF
     )
 
 
-def read_call_logs(spark: SparkSession, folder: str, cfg: Ingest = Ingest()) -> DataFrame:
+def read_call_logs(spark: SparkSession, folder: str, shortest: int = 5) -> DataFrame:
     """All logs under a folder; other suffixes are not read."""
-    return read_json(spark, folder, cfg).unionByName(read_csv(spark, folder, cfg)).unionByName(read_text(spark, folder, cfg))
+    return read_json(spark, folder, shortest).unionByName(read_csv(spark, folder, shortest)).unionByName(read_text(spark, folder, shortest))
 
 
 def quarantined(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dialoglens.config import Ensemble, Options, lookup, merged, preset
+from dialoglens.config import lookup, merged
 from dialoglens.functions.numbers import cosine, five_bins
 from dialoglens.functions.pii import detected, masked
 from dialoglens.functions.text import pairs, search_terms, token_set, without_numbering, word_count
@@ -68,7 +68,7 @@ def test_ensemble_and_escalation(spark):
     got = {r["qa"]: r for r in scoring.ensembles(j, "qa").collect()}
     assert got["a"]["score"] == pytest.approx(0.81) and got["b"]["score"] == pytest.approx(0.575) and got["b"]["is_low_confidence"]
     final = spark.createDataFrame([("b", 0.9)], "qa string, verdict double")
-    assert {r["qa"]: r["score"] for r in scoring.ensembles(j, "qa", cfg=Ensemble(aggregation="median"), verdicts=final).collect()}["b"] == 0.9
+    assert {r["qa"]: r["score"] for r in scoring.ensembles(j, "qa", by_median=True, verdicts=final).collect()}["b"] == 0.9
 
 
 def test_claims_and_nuggets(spark):
@@ -174,11 +174,17 @@ def test_judge(spark):
     assert read_score('{"score": null}')[0] == 0 and read_score("[]")[0] == 0 and read_score('{"score": 0.5}')[0] == 0.5
 
 
-def test_options():
-    o = Options().switched(enable=["ensemble", "calibration.g_eval_logprobs"], disable=["diagnosis"])
-    assert o.ensemble.enabled and o.calibration.g_eval_logprobs and not o.diagnosis.enabled and preset("safety_audit").domain.enabled
+def test_steps_and_settings(spark):
+    from dialoglens.plans.audit import METHODS, STEPS, Audit
+
+    pairs = spark.createDataFrame([("q1", "call me", "at 010-1234-5678"), ("q2", "a", "b")], "qa_id string, question string, answer string")
+    s = spark.createDataFrame([("q1", "faithfulness", 0.9), ("q2", "faithfulness", 0.1)], "qa_id string, metric string, score double")
+    a = Audit(pairs, None, s, None)
+    assert {x for m in METHODS.values() for x in m} == set(STEPS) and a.also("quick") == {}
+    assert [r["qa_id"] for r in a.also("safety_audit")["review"].collect()] == ["q2"]
+    assert {r["category"]: r["n"] for r in a.also(["diagnosis"])["diagnosis"].collect()}["generation_hallucination"] == 1
     with pytest.raises(ValueError):
-        Options().switched(enable=["nothing.here"])
+        a.also("nothing here")
     assert lookup({"a": {"b": 1}}, "a.b") == 1 and lookup({}, "a.b", 2) == 2 and merged({"a": {"x": 1, "y": 2}}, {"a": {"x": 3}}) == {"a": {"x": 3, "y": 2}}
 
 
