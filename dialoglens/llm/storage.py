@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests, local mode) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and the master is local."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

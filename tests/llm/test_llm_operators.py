@@ -306,6 +306,21 @@ def test_raking_meets_margins():
         assert sum(f for c, f in zip(cells, fit) if c[m] == key) == pytest.approx(share, abs=1e-6)
 
 
+def test_topics_come_from_content(spark):
+    from dialoglens.llm.mixing import with_cells
+
+    rng = random.Random(5)
+    themes = [[f"{c}{rng.randrange(10**6)}" for _ in range(150)] for c in "abcdef"]
+    common = [f"w{i}" for i in range(200)]
+    texts, theme = [], []
+    for i in range(240):
+        theme.append(i % 6)
+        texts.append(" ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(themes[i % 6]) for _ in range(400)))
+    got = {r["doc_id"]: r["topic"] for r in with_cells(table(spark, *texts), Targets(topics=6), "doc_id", "text").collect()}
+    pairs = [(theme[i] == theme[j], got[i] == got[j]) for i in range(240) for j in range(i)]
+    assert np.mean([a == b for a, b in pairs]) > 0.95
+
+
 def test_mixing_meets_its_budget(spark, sf):
     got = mixed_sample(spark.read.parquet(f"{sf}/documents.parquet")).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("e")).first()
     assert got["e"] == pytest.approx(0.6 * got["n"], rel=1e-6)
