@@ -347,3 +347,36 @@ def test_pipeline_keeps_its_columns(spark, sf):
     three = corpus_pipeline.by_compact_windows(spark, two, sf)
     assert three.columns == docs.columns and repeated_passages(three).count() <= repeated_passages(two).count()
     assert corpus_pipeline.run(spark, sf).agg(F.min("length")).first()[0] > 0
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "jaccard_join", "compact_windows", "mixing", "packing"])
+def test_stages_on_odd_tables(spark, name):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+
+    def fresh(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    shared, one = fresh(80), fresh(60)
+    rows = [(1, fresh(30) + " " + shared, "en", "s"), (2, shared + " " + fresh(40), None, None), (3, shared, "en", "s"), (4, None, "en", "s"), (5, "", "en", "s"), (6, one, "en", "s"), (6, one, "de", "s"), (7, one, "en", "s"), (None, fresh(60), "en", "s"), (8, LONG, "en", "s")]
+    stage = dict(corpus_pipeline.STAGES)[name]
+    # clashing names, and no n_chars
+    docs = spark.createDataFrame([(*r, 1, "x", True) for r in rows], "doc_id long, text string, lang string, source string, new long, spans string, kept boolean")
+    out = stage(spark, docs, "")
+    got = out.collect()
+    assert stage(spark, docs.limit(0), "").collect() == []
+    if name == "packing":
+        assert len({r["doc_id"] for r in got}) == 9 and sum(r["length"] for r in got if r["start"] == 0 and r["doc_id"] in (4, 5)) == 2
+        return
+    assert out.columns == docs.columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got)
+    if name == "quality_rules":
+        assert [i for _, i in ids] == [1, 2, 3, 6, 6, 7] or [i for _, i in ids] == [1, 2, 3, 6, 6, 7, 8]
+    elif name == "jaccard_join":
+        assert [i for _, i in ids] == [1, 2, 3, 4, 5, 6, 8] and next(r["lang"] for r in got if r["doc_id"] == 6) == "de"
+    elif name == "compact_windows":
+        texts = {r["doc_id"]: r["text"] for r in got}
+        assert shared in texts[1] and shared not in texts[2] and 3 not in texts and 7 not in texts and texts[8] == LONG and None in texts and texts[5] == ""
+    else:
+        assert all(i is not None for _, i in ids)
