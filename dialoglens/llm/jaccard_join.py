@@ -22,7 +22,7 @@ from dialoglens.llm.components import components
 from dialoglens.llm.postings import blobs, gathered, n_ranges, runs
 from dialoglens.llm.prefix_tree import linked
 from dialoglens.llm.storage import Scratch
-from dialoglens.llm.textops import mixed, parts, shingles, word_memo, words_of
+from dialoglens.llm.textops import mixed, parts, row_shingles
 
 
 @dataclass(frozen=True)
@@ -39,15 +39,23 @@ def spare(n, percent: int):
     return (n * (100 - percent)) // 100
 
 
+#: Bytes of text whose shingles a task holds at a time.
+PART = 1 << 20
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text."""
+    every, n = row_shingles(texts, width)
+    return [np.unique(x) for x in np.split(every, np.cumsum(n)[:-1])] if len(n) else []
+
+
 def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, n, f1, f2, head``: set size, a 128-bit fingerprint of the set, its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
-        for part in parts(batches):
+        for part in parts(batches, limit=PART):
             n, f1, f2, head = [], [], [], []
-            for text in part.column("text").to_pylist():
-                own = np.unique(shingles(words_of(text), memo, s.width))
+            for own in shingle_sets(part.column("text"), s.width):
                 n.append(len(own))
                 f1.append(mixed(own ^ np.uint64(0x51ED270B)).sum(dtype=np.uint64).astype(np.int64))
                 f2.append(np.bitwise_xor.reduce(mixed(own + np.uint64(0x2545F491)), initial=np.uint64(0)).astype(np.int64))
@@ -202,9 +210,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     likely = scratch.save(shared.join(need, "doc_id").where("shared >= need").select("doc_id"), "likely")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
-        for part in parts(batches):
-            own = [np.unique(shingles(words_of(t), memo, s.width)) for t in part.column("text").to_pylist()]
+        for part in parts(batches, limit=PART):
+            own = shingle_sets(part.column("text"), s.width)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "n", "keys"])
 
     bloom = BlockedBloom.of(likely, "doc_id")
