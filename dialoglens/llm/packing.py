@@ -44,7 +44,7 @@ class Encoder:
     special token's name, and all texts of other tokenizers, are tokenised whole.
     """
 
-    def __init__(self, spec: str, limit: int = 400_000):
+    def __init__(self, spec: str, limit: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
