@@ -139,7 +139,7 @@ class BlockMaxIndex:
         self.row[full] = np.arange(len(full))
         self.rows = np.zeros((len(full), self.n_blocks, block))
         held = self.row[term] >= 0
-        self.rows.reshape(len(full), -1)[self.row[term[held]], doc[held]] = weight[held]
+        self.rows[self.row[term[held]], doc[held] // block, doc[held] % block] = weight[held]
         sizes = np.add.reduceat(~held, start, dtype=np.int64) if len(start) else np.empty(0, np.int64)
         self.size, self.start = sizes, np.cumsum(sizes) - sizes
         self.doc, self.weight = doc[~held], weight[~held]

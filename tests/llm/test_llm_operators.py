@@ -18,7 +18,7 @@ from dialoglens.llm.mixing import Targets, mixed_sample, raked
 from dialoglens.llm.packing import pack, patterns
 from dialoglens.llm.quality_classifier import quality_scores
 from dialoglens.llm.token_counts import Trie, token_counts
-from dialoglens.llm.toxicity import toxicity_scores
+from dialoglens.llm.toxicity import BlockMaxIndex, toxicity_scores
 from dialoglens.llm.url_filters import shared_urls, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -336,6 +336,43 @@ def test_held_out_accuracy(spark, name, label, least):
     assert np.mean([r["predicted"] == r[label] for r in got]) >= least
 
 
+@pytest.mark.parametrize("n", [0, 1, 40, 700])
+def test_block_max_search_against_brute_force(n):
+    rng = np.random.default_rng(n)
+
+    def unit():
+        terms = np.unique(np.minimum(rng.zipf(1.4, 30), 400)) - 1
+        w = rng.random(len(terms)) + 0.1
+        return terms, w / np.linalg.norm(w)
+
+    vectors = [unit() for _ in range(n)]
+    if n > 2:
+        vectors[1], vectors[2] = vectors[0], (np.empty(0, np.int64), np.empty(0))
+    ids = rng.permutation(n) * 3
+    index = BlockMaxIndex(ids, np.zeros(n), vectors, 401, 16)
+    dense = np.zeros((n, 401))
+    for row, (terms, w) in zip(dense, vectors, strict=True):
+        row[terms] = w
+    for terms, w in [*vectors[:3], *(unit() for _ in range(20))]:
+        cos = np.round(np.minimum(dense[:, terms] @ w, 1), 12)
+        want = [(ids[i], cos[i]) for i in np.lexsort((ids, -cos)) if cos[i] > 0][:8]
+        found, scores = index.search(terms, w, 8)
+        assert len(found) == len(want) and np.allclose(scores, [c for _, c in want], atol=1e-10)
+        assert [int(i) for i in index.ids[found]] == [int(i) for i, _ in want]
+
+
+def test_every_word_of_the_examples_counts(spark):
+    """A near copy of a toxic example is caught by words that no other text holds; label words need no least count."""
+    plain = [f"calm{i} words{i % 7} about rivers{i % 5} and hills{i}" for i in range(40)]
+    rude = [f"dolt{i} churl{i} oaf{i} knave{i} lout{i} boor{i}" for i in range(40)]
+    docs = table(spark, *plain, *rude)
+    known = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") >= 40).cast("int").alias("toxic"))
+    copies = docs.where("doc_id >= 40 and crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").withColumn("doc_id", F.col("doc_id") + 1000)
+    got = {r["doc_id"]: r for r in toxicity_scores(docs.unionByName(copies), known).collect()}
+    assert all(r["predicted"] == 1 and r["evidence"][0]["doc_id"] == i - 1000 for i, r in got.items() if i >= 1000)
+    assert all(r["predicted"] == 0 for i, r in got.items() if i < 40 and r["n_neighbours"])
+
+
 def test_pipeline_keeps_its_columns(spark, sf):
     import corpus_pipeline
 
