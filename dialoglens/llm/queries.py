@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dialoglens.llm.bpe import bpe_decode, bpe_encode
 from dialoglens.llm.compact_windows import repeated_passages
 from dialoglens.llm.compression_rules import quality_rules
+from dialoglens.llm.conversation_repair import damaged, repair, spoken
 from dialoglens.llm.jaccard_join import jaccard_join
 from dialoglens.llm.kmeans_tree import nearest
 from dialoglens.llm.mixing import mixed_sample
+from dialoglens.llm.oracles import REPAIR, codes_sql
 from dialoglens.llm.packing import pack
 from dialoglens.llm.quality_classifier import quality_scores
 from dialoglens.llm.token_counts import token_counts
 from dialoglens.llm.toxicity import toxicity_scores
 from dialoglens.llm.url_filters import shared_urls, url_filter
+from dialoglens.llm.vector_codes import vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +76,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(spoken(table(spark, sf_dir, "conversations")))).summary
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    spec = vocabulary("word_bpe_49k.json").decode()
+    found = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), spec), spec)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_toxicity, op4_compression_rules, op5_compact_windows, op6_token_counts, op7_url_filters, op8_kmeans_tree, op9_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_toxicity, op4_compression_rules, op5_compact_windows, op6_token_counts, op7_url_filters, op8_kmeans_tree, op9_packing, op10_jaccard_join, op11_conversation_repair, op12_vector_codes, op13_bpe)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,4 +124,4 @@ FROM ruled r LEFT JOIN listed l ON r.canonical = l.canonical
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL}
+    return {"op7_url_filters": OP7_SQL, "op11_conversation_repair": REPAIR, "op12_vector_codes": codes_sql()}
