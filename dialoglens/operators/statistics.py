@@ -1,16 +1,18 @@
 """SLA summaries, diagnosis, resampling, agreement and regression over long tables of scores.
 
-Resampling draws are hashes of (seed, replicate, position), so every engine and every run draws the same.
+Resampling goes over binned values, quantiles and ranks over ranges of values: no task holds all values of a key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dialoglens.config import DIAGNOSES, SLA
-from dialoglens.functions.numbers import draw, exact_mean, five_bins, threshold
+from dialoglens.functions.numbers import exact_mean, five_bins, threshold, token_cost
+from dialoglens.operators.ordered import mid_ranks, within_budget
+from dialoglens.operators.quantiles import exact_quantiles
+from dialoglens.operators.resampling import binned, interval, replicates
 
 
 def below_sla() -> Column:
@@ -18,16 +20,21 @@ def below_sla() -> Column:
 
 
 def sla_summary(scores: DataFrame, *keys: str) -> DataFrame:
-    """``keys, mean, median, p10, p90, below_sla_count, total_count, sla_pass_rate``; metrics by default."""
-    return scores.groupBy(*(keys or ("metric",))).agg(
+    """``keys, mean, median, p10, p90, below_sla_count, total_count, sla_pass_rate``; metrics by default.
+
+    Quantiles come from repeated selection, so the scores are read a few times when this is called; a table
+    that is dear to make should be written first.
+    """
+    by = list(keys or ("metric",))
+    sums = scores.groupBy(*by).agg(
         F.avg("score").alias("mean"),
-        F.median("score").alias("median"),
-        F.percentile("score", 0.1).alias("p10"),
-        F.percentile("score", 0.9).alias("p90"),
         F.count_if(below_sla()).alias("below_sla_count"),
         F.count(F.lit(1)).alias("total_count"),
         (1 - F.count_if(below_sla()) / F.count(F.lit(1))).alias("sla_pass_rate"),
     )
+    found = exact_quantiles(scores, by, "score", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by]
+    return sums.alias("s").join(found.alias("q"), same, "left").select(*(f"s.{k}" for k in by), "mean", "median", "p10", "p90", "below_sla_count", "total_count", "sla_pass_rate")
 
 
 def flagged_calls(scores: DataFrame, evaluations: DataFrame) -> DataFrame:
@@ -74,63 +81,38 @@ def review_priority(scores: DataFrame, margin: float = 0.1) -> DataFrame:
     return scores.groupBy("eval_id").agg((F.sum(doubt + near) / F.count(F.lit(1))).alias("priority"))
 
 
-def indexed(values: DataFrame, key: str) -> DataFrame:
-    """Adds ``i`` (from 0 within the key, in order of ``eval_id``) and ``n``."""
-    w = Window.partitionBy(key)
-    return values.select(key, "eval_id", "score", (F.row_number().over(w.orderBy("eval_id")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-
-
-def at_rank(replicates: DataFrame, key: str, value: str, samples: int, level: float) -> DataFrame:
-    """``key, low, high``: the replicates at the places that bound the middle ``level``."""
-    alpha = 1 - level
-    low, high = int(alpha / 2 * samples + 1e-9), min(samples - 1, int((1 - alpha / 2) * samples + 1e-9))
-    ordered = replicates.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("all"))
-    return ordered.select(key, F.get("all", F.lit(low)).alias("low"), F.get("all", F.lit(high)).alias("high"))
-
-
 def bootstrap_ci(values: DataFrame, key: str = "metric", samples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """``key, mean, low, high, n``: percentile intervals of the mean from ``samples`` resamples of n out of n.
 
-    One row has its own value as bounds. For tables of many millions use ``poisson_ci``, which ranks nothing.
+    One row has its own value as bounds. Resamples are multinomial counts of binned values.
     """
-    rows = indexed(values, key)
-    sizes = rows.groupBy(key).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
-    reps = rows.select(key, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"))
-    picks = reps.select(key, "rep", (draw(F.lit(seed), F.col("rep"), F.col("i")) % F.col("n")).alias("i"))
-    # how often a replicate picks a row, before the row's value is joined
-    picks = picks.groupBy(key, "rep", "i").agg(F.count(F.lit(1)).alias("times"))
-    means = picks.join(rows, [key, "i"]).groupBy(key, "rep").agg((F.sum(F.col("times") * F.col("score")) / F.max("n")).alias("m"))
-    return sizes.join(at_rank(means, key, "m", samples, level), key).select(key, "mean", "low", "high", "n")
-
-
-# The cumulative Poisson(1) distribution.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+    return resampled(values, key, "multinomial", samples, level, seed)
 
 
 def poisson_ci(values: DataFrame, key: str = "metric", samples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """As ``bootstrap_ci`` in distribution: each row gets a Poisson(1) weight in each replicate, in one pass.
+    """As ``bootstrap_ci``, but each row has a Poisson(1) weight, so a replicate's size varies, too."""
+    return resampled(values, key, "poisson", samples, level, seed)
 
-    Sums meet in partial aggregates of ``samples`` rows for each key, so the shuffle doesn't grow with the rows.
-    """
-    u = draw(F.lit(seed), F.col("rep"), F.col("eval_id"), F.col(key)).cast("double") / float(1 << 60)
-    weight = F.lit(len(POISSON))
-    for i in reversed(range(len(POISSON))):
-        weight = F.when(u < POISSON[i], i).otherwise(weight)
-    reps = values.select(key, "eval_id", "score", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep")).withColumn("w", weight)
-    means = reps.groupBy(key, "rep").agg((F.sum(F.col("w") * F.col("score")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    sizes = values.groupBy(key).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return sizes.join(at_rank(means, key, "m", samples, level), key).select(key, "mean", "low", "high", "n")
+
+def resampled(values: DataFrame, key: str, law: str, samples: int, level: float, seed: int) -> DataFrame:
+    rows = values.select(key, "score").where(F.col("score").isNotNull())
+    bounds = interval(replicates(binned(rows, key), key, law, samples, seed), key, samples, level)
+    sizes = rows.groupBy(key).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return sizes.join(bounds, key).select(key, "mean", "low", "high", "n")
 
 
 def permutation_test(current: DataFrame, previous: DataFrame, key: str = "metric", permutations: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """``key, delta, p_value, significant`` for keys that both samples have, by shuffling who belongs to which."""
-    both = current.select(key, "eval_id", "score", F.lit(1).alias("now")).unionByName(previous.select(key, "eval_id", "score", F.lit(0).alias("now")))
+    """``key, delta, p_value, significant`` for keys that both samples have, by shuffling who belongs to which.
+
+    How many of each bin's values a shuffle gives to the current sample is drawn, not which: no row is sorted.
+    The measured difference is that of the values themselves, shuffled ones are those of their bins' means.
+    """
+    both = current.select(key, "score", F.lit(1).alias("now")).unionByName(previous.select(key, "score", F.lit(0).alias("now"))).where(F.col("score").isNotNull())
     size = both.groupBy(key).agg(F.count_if(F.col("now") == 1).alias("nc"), F.count_if(F.col("now") == 0).alias("np"), F.sum("score").alias("total"), F.sum(F.when(F.col("now") == 1, F.col("score")).otherwise(0.0)).alias("sc"))
     size = size.where("nc > 0 and np > 0").withColumn("delta", F.col("sc") / F.col("nc") - (F.col("total") - F.col("sc")) / F.col("np"))
-    reps = both.join(size.select(key, "nc"), key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    shuffled = Window.partitionBy(key, "rep").orderBy(draw(F.lit(seed), F.col("rep"), F.col("now"), F.col("eval_id")), "now", "eval_id")
-    chosen = reps.withColumn("place", F.row_number().over(shuffled)).where("place <= nc").groupBy(key, "rep").agg(F.sum("score").alias("s"))
-    tried = chosen.join(size, key).withColumn("d", F.col("s") / F.col("nc") - (F.col("total") - F.col("s")) / F.col("np"))
+    bins = binned(both, key, ("now",)).join(size.select(key), key, "left_semi")
+    shuffled = replicates(bins, key, "hypergeometric", permutations, seed, "now").select(key, F.col("total").alias("s"))
+    tried = shuffled.join(size, key).withColumn("d", F.col("s") / F.col("nc") - (F.col("total") - F.col("s")) / F.col("np"))
     out = tried.groupBy(key).agg(F.first("delta").alias("delta"), ((F.count_if(F.abs("d") >= F.abs("delta") - 1e-12) + 1) / (permutations + 1)).alias("p_value"))
     return out.withColumn("significant", F.col("p_value") < alpha)
 
@@ -165,19 +147,12 @@ def ppi_mean(everything: DataFrame, labelled: DataFrame, samples: int = 1000, le
     return both.select((F.col("naive") + F.col("mean")).alias("point"), (F.col("naive") + F.col("low")).alias("ci_low"), (F.col("naive") + F.col("high")).alias("ci_high"), F.col("n").alias("n_labelled"), "n_total", "naive")
 
 
-def ranks_by_value(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks from 1, ties sharing the mean of theirs, from counts of distinct values, so that rows themselves aren't ordered in one task."""
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    ranks = counts.select(value, (F.sum("c").over(Window.orderBy(value)) - (F.col("c") - 1) / 2).alias(out))
-    return rows.join(ranks, value)
-
-
 def meta_evaluation(pairs: DataFrame) -> DataFrame:
     """``n, mae, spearman, kappa`` of ``judge`` and ``human`` scores.
 
     Spearman's coefficient is 0 without variance; kappa over five bins is 1 where chance agrees fully.
     """
-    both = ranks_by_value(ranks_by_value(pairs.select("judge", "human"), "judge", "rj"), "human", "rh")
+    both = mid_ranks(mid_ranks(pairs.select("judge", "human"), "judge", "rj"), "human", "rh")
     both = both.withColumn("bj", five_bins(F.col("judge"))).withColumn("bh", five_bins(F.col("human")))
     bins = range(5)
     sums = both.agg(
@@ -191,11 +166,20 @@ def meta_evaluation(pairs: DataFrame) -> DataFrame:
     return sums.select("n", "mae", F.coalesce("spearman", F.lit(0.0)).alias("spearman"), kappa.alias("kappa"))
 
 
-def total_cost(calls: DataFrame, prices: DataFrame, budget: float | None = None) -> DataFrame:
-    """``model, cost`` of judge calls (``model, tokens_in, tokens_out``); ``over_budget`` tells whether all cost too much."""
-    from dialoglens.functions.numbers import token_cost
+def total_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """``model, cost`` of judge calls (``model, tokens_in, tokens_out``)."""
+    return calls.join(prices, "model", "left").groupBy("model").agg(F.sum(call_cost()).alias("cost"))
 
-    cost = token_cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out"))
-    by_model = calls.join(prices, "model", "left").groupBy("model").agg(F.sum(cost).alias("cost"))
-    total = F.sum("cost").over(Window.partitionBy())
-    return by_model.withColumn("over_budget", F.lit(False) if budget is None else total > budget)
+
+def call_cost():
+    return token_cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out"))
+
+
+def budgeted(calls: DataFrame, prices: DataFrame, order: list[str], budget: float) -> DataFrame:
+    """Judge calls with ``cost``, ``spent`` before them and ``kept``: the breaker trips once for all tasks.
+
+    Calls run in the order of columns until the budget is spent; the call that crosses it still runs. ``order``
+    must tell calls apart.
+    """
+    priced = calls.join(prices, "model", "left").withColumn("cost", call_cost()).drop("price_in", "price_out")
+    return within_budget(priced, order, F.col("cost"), budget)

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = f"WITH {views.SQL.strip()}\n{sql.strip()}"
+            ORACLE[f.__name__] = f"WITH RECURSIVE {views.SQL.strip()}\n{sql.strip()}"
         return f
 
     return register
@@ -256,32 +256,63 @@ def meta_eval(spark, sf_dir):
     return rounded(statistics.meta_evaluation(pairs), "mae", "spearman", "kappa")
 
 
-REPLICATES = 200
+REPLICATES = 1000
 
 
-def draw_sql(*parts: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+def unit_sql(start: int) -> str:
+    return f"(('0x' || substr(h, {start}, 15))::BIGINT::DOUBLE / 1152921504606846976)"
 
 
-def bootstrap_sql(values: str, samples: int = REPLICATES) -> str:
-    return f""", vals AS ({values}
-), ix AS (SELECT metric, score, row_number() OVER (PARTITION BY metric ORDER BY eval_id) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM vals
-), picks AS (SELECT metric, rep, {draw_sql("42", "rep", "i")} % n AS i, n FROM ix, range(0, {samples}) t(rep)
-), reps AS (SELECT p.metric, rep, sum(score) / max(p.n) AS m FROM picks p JOIN ix ON ix.metric = p.metric AND ix.i = p.i GROUP BY 1, 2
-), bounds AS (SELECT metric, list_sort(list(m)) AS all_m FROM reps GROUP BY 1
-), ci AS (SELECT v.metric, avg(v.score) AS mean, count(*) AS n, any_value(all_m)[{int(0.025 * samples + 1e-9) + 1}] AS low, any_value(all_m)[{int(0.975 * samples + 1e-9) + 1}] AS high FROM vals v JOIN bounds b ON v.metric = b.metric GROUP BY 1)"""
+NORMAL_SQL = f"(sqrt(-2 * ln(1 - {unit_sql(1)})) * cos(2 * pi() * {unit_sql(17)}))"
 
 
-@query(bootstrap_sql("SELECT eval_id, metric, score FROM v_scores") + " SELECT metric, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, n FROM ci")
+def inverted_sql(first: str, ratio: str, most: str) -> str:
+    """The least k whose summed probabilities pass the draw; ``ratio`` leads from ``a.k`` to the next."""
+    return f"""list_reduce(list_prepend({{'k': 0::DOUBLE, 'p': {first}, 't': {first}}}, list_transform(range(0, ({most})::BIGINT), lambda i: {{'k': i::DOUBLE, 'p': 0::DOUBLE, 't': 0::DOUBLE}})),
+      lambda a, x: CASE WHEN {unit_sql(1)} >= a.t AND a.k = x.k THEN {{'k': a.k + 1, 'p': a.p * ({ratio}), 't': a.t + a.p * ({ratio})}} ELSE a END).k"""
+
+
+SPREAD = "(m * c * (n - c) * (n - m) / (n * n * greatest(n - 1, 1)))"
+HYPERGEOMETRIC = f"""CASE WHEN c >= n THEN m WHEN {SPREAD} > 50 THEN greatest(greatest(0, m - (n - c)), least(least(c, m), round(m * c / n + sqrt({SPREAD}) * {NORMAL_SQL}))) ELSE
+  CASE WHEN m > n - m THEN c - flipped ELSE flipped END END"""
+FLIPPED = f"""CASE WHEN c > n - c THEN least(m, n - m) - k0 ELSE k0 END"""
+K0 = inverted_sql("coalesce(list_product(list_transform(range(0, least(sc, sm)::BIGINT), lambda i: (n - greatest(sc, sm) - i) / (n - i))), 1)", "((sc - a.k) * (sm - a.k)) / ((a.k + 1) * (n - sc - sm + a.k + 1))", f"CASE WHEN {SPREAD} > 50 THEN 0 ELSE least(sc, sm) END")
+BINOMIAL = f"""CASE WHEN c >= n THEN m WHEN m * (c / n) * (1 - c / n) > 50 THEN greatest(0, least(m, round(m * (c / n) + sqrt(m * (c / n) * (1 - c / n)) * {NORMAL_SQL}))) WHEN c / n > 1 - c / n THEN m - k0 ELSE k0 END"""
+B0 = inverted_sql("pow(1 - p, m)", "((m - a.k) * p) / ((a.k + 1) * (1 - p))", "CASE WHEN m * (c / n) * (1 - c / n) > 50 THEN 0 ELSE least(m, ceil(m * p + 12 * sqrt(m * p) + 30)) END")
+POISSON_K = f"CASE WHEN c > 50 THEN greatest(0, round(c + sqrt(c) * {NORMAL_SQL})) ELSE {inverted_sql('exp(-c)', 'c / (a.k + 1)', 'ceil(c + 12 * sqrt(c) + 30)')} END"
+
+
+def binned_sql(values: str) -> str:
+    """``spans`` and ``bins`` of ``values``: a SELECT of ``metric, score, now``."""
+    return f""", vals AS MATERIALIZED (SELECT * FROM ({values}) WHERE score IS NOT NULL
+), spans AS (SELECT metric, min(score) AS low, max(score) AS high, count(DISTINCT score) AS d, count(*) AS n, sum(now) AS nc FROM vals GROUP BY 1
+), bins AS MATERIALIZED (SELECT metric, c::DOUBLE AS c, mean, row_number() OVER (PARTITION BY metric ORDER BY b) - 1 AS j FROM (
+  SELECT v.metric, CASE WHEN d <= 128 THEN score ELSE least(127, floor((score - low) / (high - low) * 128)) END AS b, count(*) AS c, avg(score) AS mean FROM vals v JOIN spans s ON v.metric = s.metric GROUP BY 1, 2))"""
+
+
+def chain_sql(size: str, k: str, where: str = "true") -> str:
+    """``reps``: each replicate's number of rows and their sum, bin after bin."""
+    return f""", chain AS (SELECT metric, rep, 0::BIGINT AS j, n::DOUBLE AS n, ({size})::DOUBLE AS m, 0::DOUBLE AS total FROM spans s, range(0, {REPLICATES}) t(rep) WHERE {where}
+  UNION ALL SELECT metric, rep, j + 1, n - c, m - k, total + k * mean FROM ({k})
+), reps AS (SELECT c.metric, rep, ({size})::DOUBLE AS n, total FROM chain c JOIN (SELECT metric, max(j) + 1 AS last FROM bins GROUP BY 1) e ON c.metric = e.metric AND c.j = e.last JOIN spans s ON s.metric = c.metric)"""
+
+
+STEP = f"SELECT c.*, b.c, b.mean, md5(concat_ws('|', '42', rep, c.metric, c.j)) AS h FROM chain c JOIN bins b ON b.metric = c.metric AND b.j = c.j"
+MULTINOMIAL_SQL = chain_sql("s.n", f"SELECT *, {BINOMIAL} AS k FROM (SELECT *, {B0} AS k0 FROM (SELECT *, least(c / n, 1 - c / n) AS p FROM ({STEP})))")
+SHUFFLED_SQL = chain_sql("s.nc", f"SELECT *, {HYPERGEOMETRIC} AS k FROM (SELECT *, {FLIPPED} AS flipped FROM (SELECT *, {K0} AS k0 FROM (SELECT *, least(c, n - c) AS sc, least(m, n - m) AS sm FROM ({STEP}))))", "nc > 0 AND n > nc")
+POISSON_SQL = f""", reps AS (SELECT metric, rep, sum(k) AS n, sum(k * mean ORDER BY j) AS total FROM (
+  SELECT *, {POISSON_K} AS k FROM (SELECT metric, rep, j, c, mean, md5(concat_ws('|', '42', rep, metric, j)) AS h FROM bins, range(0, {REPLICATES}) t(rep))) GROUP BY 1, 2)"""
+CI_SQL = f""", bounds AS (SELECT metric, list_sort(list(total / nullif(n, 0))) AS all_m FROM reps GROUP BY 1
+), ci AS (SELECT v.metric, avg(v.score) AS mean, count(*) AS n, any_value(all_m)[{int(0.025 * REPLICATES + 1e-9) + 1}] AS low, any_value(all_m)[{int(0.975 * REPLICATES + 1e-9) + 1}] AS high FROM vals v JOIN bounds b ON v.metric = b.metric GROUP BY 1)"""
+ALL_SCORES = "SELECT metric, score, 0 AS now FROM v_scores"
+
+
+@query(f"{binned_sql(ALL_SCORES)}{MULTINOMIAL_SQL}{CI_SQL} SELECT metric, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, n FROM ci")
 def bootstrap_ci(spark, sf_dir):
     return rounded(statistics.bootstrap_ci(views.scores(spark, sf_dir), samples=REPLICATES), "mean", "low", "high")
 
 
-@query(f""", ws AS (SELECT metric, rep, score, {draw_sql("42", "rep", "eval_id", "metric")}::DOUBLE / 1152921504606846976 AS u FROM v_scores, range(0, {REPLICATES}) t(rep)
-), ww AS (SELECT metric, rep, score, {" + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in statistics.POISSON)} AS w FROM ws
-), reps AS (SELECT metric, rep, sum(w * score) / nullif(sum(w), 0) AS m FROM ww GROUP BY 1, 2
-), bounds AS (SELECT metric, list_sort(list(m)) AS all_m FROM reps GROUP BY 1)
-SELECT v.metric, round(avg(v.score), 6) AS mean, round(any_value(all_m)[6], 6) AS low, round(any_value(all_m)[196], 6) AS high, count(*) AS n FROM v_scores v JOIN bounds b ON v.metric = b.metric GROUP BY 1""")
+@query(f"{binned_sql(ALL_SCORES)}{POISSON_SQL}{CI_SQL} SELECT metric, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, n FROM ci")
 def bootstrap_poisson(spark, sf_dir):
     return rounded(statistics.poisson_ci(views.scores(spark, sf_dir), samples=REPLICATES), "mean", "low", "high")
 
@@ -293,19 +324,21 @@ def halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows.where("late"), rows.where("not late")
 
 
-@query(f""", b AS (SELECT s.metric, s.eval_id, s.score, (day(e.evaluated_at) > 15)::INT AS now FROM v_scores s JOIN v_eval e USING (eval_id)
-), z AS (SELECT metric, count(*) FILTER (now = 1) AS nc, count(*) FILTER (now = 0) AS np, sum(score) AS total, coalesce(sum(score) FILTER (now = 1), 0) AS sc FROM b GROUP BY 1
-), o AS (SELECT *, sc / nc - (total - sc) / np AS delta FROM z WHERE nc > 0 AND np > 0
-), sh AS (SELECT b.metric, rep, score, nc, row_number() OVER (PARTITION BY b.metric, rep ORDER BY {draw_sql("42", "rep", "now", "b.eval_id")}, now, b.eval_id) AS place FROM b JOIN o ON b.metric = o.metric, range(0, {REPLICATES}) t(rep)
-), ch AS (SELECT metric, rep, sum(score) AS s FROM sh WHERE place <= nc GROUP BY 1, 2)
-SELECT o.metric, round(any_value(delta), 6) AS delta, round((count(*) FILTER (abs(s / nc - (total - s) / np) >= abs(delta) - 1e-12) + 1) / {REPLICATES + 1}, 6) AS p_value,
-  (count(*) FILTER (abs(s / nc - (total - s) / np) >= abs(delta) - 1e-12) + 1) / {REPLICATES + 1} < 0.05 AS significant,
-  (count(*) FILTER (abs(s / nc - (total - s) / np) >= abs(delta) - 1e-12) + 1) / {REPLICATES + 1} < 0.05 AND any_value(delta) < 0 AS is_regression FROM ch JOIN o ON ch.metric = o.metric GROUP BY 1""")
+HALVES = "SELECT s.metric, s.score, (day(e.evaluated_at) > 15)::INT AS now FROM v_scores s JOIN v_eval e USING (eval_id)"
+
+
+@query(f"""{binned_sql(HALVES)}{SHUFFLED_SQL}
+, o AS (SELECT metric, nc, n - nc AS np, total, sc, sc / nc - (total - sc) / (n - nc) AS delta FROM (SELECT metric, count(*) AS n, sum(now) AS nc, sum(score) AS total, sum(score * now) AS sc FROM vals GROUP BY 1) WHERE nc > 0 AND n > nc
+), tried AS (SELECT o.metric, any_value(delta) AS delta, (count(*) FILTER (abs(r.total / nc - (o.total - r.total) / np) >= abs(delta) - 1e-12) + 1) / {REPLICATES + 1} AS p FROM reps r JOIN o ON r.metric = o.metric GROUP BY 1)
+SELECT metric, round(delta, 6) AS delta, round(p, 6) AS p_value, p < 0.05 AS significant, p < 0.05 AND delta < 0 AS is_regression FROM tried""")
 def permutation_test(spark, sf_dir):
     return rounded(statistics.significant_regressions(*halves(spark, sf_dir), permutations=REPLICATES), "delta", "p_value")
 
 
-@query(bootstrap_sql("SELECT eval_id, 'all' AS metric, confidence - score AS score FROM v_scores WHERE metric = 'faithfulness'") + """, c AS (SELECT avg(score) AS naive, count(*) AS n_total FROM v_scores)
+LABELLED = "SELECT 'all' AS metric, confidence - score AS score, 0 AS now FROM v_scores WHERE metric = 'faithfulness'"
+
+
+@query(f"""{binned_sql(LABELLED)}{MULTINOMIAL_SQL}{CI_SQL}, c AS (SELECT avg(score) AS naive, count(*) AS n_total FROM v_scores)
 SELECT round(naive + mean, 6) AS point, round(naive + low, 6) AS ci_low, round(naive + high, 6) AS ci_high, n AS n_labelled, n_total, round(naive, 6) AS naive FROM ci, c""")
 def ppi_mean(spark, sf_dir):
     scores = views.scores(spark, sf_dir)

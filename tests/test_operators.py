@@ -179,7 +179,7 @@ def test_steps_and_settings(spark):
 
     pairs = spark.createDataFrame([("q1", "call me", "at 010-1234-5678"), ("q2", "a", "b")], "qa_id string, question string, answer string")
     s = spark.createDataFrame([("q1", "faithfulness", 0.9), ("q2", "faithfulness", 0.1)], "qa_id string, metric string, score double")
-    a = Audit(pairs, None, s, None)
+    a = Audit(pairs, None, s)
     assert {x for m in METHODS.values() for x in m} == set(STEPS) and a.also("quick") == {}
     assert [r["qa_id"] for r in a.also("safety_audit")["review"].collect()] == ["q2"]
     assert {r["category"]: r["n"] for r in a.also(["diagnosis"])["diagnosis"].collect()}["generation_hallucination"] == 1
