@@ -69,21 +69,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Multiplier of the word hash, odd, so that it has an inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
-#: A value for each byte; the second table takes A-Z as a-z.
-BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
-LOWERED = BYTES[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
+#: A-Z as a-z, other bytes as they are.
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: Bytes of text whose words are hashed at a time.
-PAGE = 1 << 19
+#: Words of more bytes are hashed one by one.
+SHORT = 64
+#: The lowest bytes of eight, by their number.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n - 1 modulo 2^64."""
     if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, PAGE), base, dtype=np.uint64)
+        steps = np.full(max(n, 1024), base, dtype=np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][:n]
@@ -114,8 +115,7 @@ def word_places(data: np.ndarray, rows: np.ndarray, cuts: np.ndarray | None = No
 def hashed_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows in order, and each row's number of words.
 
-    Words are those of ``words_of``. The hash is a polynomial in table values of the bytes, read off running
-    sums over all bytes at once, so no word becomes a Python object.
+    Words are those of ``words_of``; none becomes a Python object unless it is long.
     """
     data, rows = raw_bytes(column)
     first, end = word_places(data, rows)
@@ -123,16 +123,21 @@ def hashed_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.n
 
 
 def hashes_at(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    out = np.empty(len(first), dtype=np.uint64)
-    table = LOWERED if lower else BYTES
-    cuts = np.flatnonzero(np.diff(first // PAGE, prepend=-1))
-    for a, b in zip(cuts, np.append(cuts[1:], len(first))[: len(cuts)], strict=True):
-        base, top = first[a], end[b - 1]
-        sums = np.zeros(top - base + 1, dtype=np.uint64)
-        np.cumsum(table[data[base:top]] * powers(BASE, top - base), out=sums[1:])
-        x, y = first[a:b] - base, end[a:b] - base
-        back = powers(pow(BASE, -1, 1 << 64), top - base)[x]
-        out[a:b] = mixed((sums[y] - sums[x]) * back + (y - x).astype(np.uint64))
+    """A 64-bit hash of each word of ``data``: eight bytes at a time are mixed into its state, which begins as its length.
+
+    Every step mixes all bits, so no pattern of letters cancels out. Long words take xxh3 of their bytes.
+    """
+    held = np.concatenate([LOWERED[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(held) - 7, "<u8", held, strides=(1,))
+    size = end - first
+    out = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    todo, at = np.flatnonzero(size <= SHORT), 0
+    while len(todo):
+        left = size[todo] - at
+        out[todo] = mixed(out[todo] ^ (eight[first[todo] + at] & MASKS[np.minimum(left, 8)]))
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(held[first[i] : end[i]])
     return out
 
 

@@ -218,3 +218,30 @@ def test_bpe_query_of_odd_rows(spark):
 
 def test_oracles_are_those_of_the_parameters():
     assert oracles.codes_sql(rounds=1).count("AS MATERIALIZED") == oracles.codes_sql(rounds=2).count("AS MATERIALIZED") - 2
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_word_hashes_tell_patterns_apart(spark):
+    import pyarrow as pa
+    import xxhash
+
+    from dialoglens.llm.jaccard_join import jaccard_join
+    from dialoglens.llm.packing import Encoder
+    from dialoglens.llm.textops import hashed_words
+
+    words = [w for n in (8, 16, 64, 128, 1024, 2048) for w in thue_morse(n)] + ["a" * n for n in range(1, 200)] + ["É", "e", "Word", "word", "\x00", "\x00\x00"]
+    found, n = hashed_words(pa.array(words, pa.string()))
+    assert n.tolist() == [1] * len(words) and len(set(found.tolist())) == len({w.encode().lower() for w in words})
+    again, _ = hashed_words(pa.array([" ".join(words)], pa.string()))
+    assert again.tolist() == found.tolist() and found[words.index("a" * 199)] == xxhash.xxh3_64_intdigest(b"a" * 199)
+    spec, tokens = queries.vocabulary("word_bpe_49k.json").decode(), library("word_bpe_49k.json")
+    texts = list(thue_morse(2048))
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(spec).ids(pa.array(texts))] == [tokens.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(thue_morse(1024), 1)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join(docs).collect()} == {1: 1, 2: 2}
