@@ -61,6 +61,34 @@ def evidence_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?。])\s+|\n+"), lambda s: strip(s)), lambda s: s != "")
 
 
+def plain_tokens(text: Column, marks: str) -> Column:
+    """The distinct lower-cased words of two characters or more, with ``marks`` taken as spaces."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), marks, " "), r"\s+"), lambda w: F.length(w) >= 2))
+
+
+# The marks that end words, and the share of a sentence's words that grounds it.
+MARKS, POOLED_MARKS, GROUNDED_FROM = "[.,!?·…\"'()\\[\\]]", "[.,!?·…]", 0.3
+
+
+def grounding(answer: Column, contexts: Column) -> Column:
+    """Structs ``sentence, grounded`` of an answer: whether any one context holds enough of a sentence's words; without words: no."""
+    held = F.transform(contexts, lambda c: plain_tokens(c, MARKS))
+    best = lambda s: F.coalesce(F.array_max(F.transform(held, lambda h: overlap(plain_tokens(s, MARKS), h))), F.lit(0.0))
+    return F.transform(evidence_sentences(answer), lambda s: F.struct(s.alias("sentence"), (best(s) >= GROUNDED_FROM).alias("grounded")))
+
+
+def pooled_grounding(answer: Column, contexts: Column) -> Column:
+    """The same against all contexts together, sentences cut behind closing marks only; without words: grounded.
+
+    Repeated words of a sentence count each.
+    """
+    pool = plain_tokens(F.array_join(contexts, " "), POOLED_MARKS)
+    words_of = lambda s: F.filter(F.split(F.regexp_replace(F.lower(s), POOLED_MARKS, " "), r"\s+"), lambda w: F.length(w) >= 2)
+    share = lambda s: F.try_divide(F.size(F.filter(words_of(s), lambda w: F.array_contains(pool, w))), F.size(words_of(s)))
+    cut = F.filter(F.split(answer, r"(?<=[.!?。])\s+"), lambda s: s != "")
+    return F.transform(cut, lambda s: F.struct(s.alias("sentence"), (F.coalesce(share(s), F.lit(1.0)) >= GROUNDED_FROM).alias("grounded")))
+
+
 def without_numbering(line: Column) -> Column:
     """Without the digits, dots, dashes and brackets that number a list's line."""
     return F.regexp_replace(strip(line), r"^[0-9.\-) ]+", "")

@@ -1,96 +1,112 @@
-"""The one place where Python judges: batches of prompts go to a provider inside tasks.
+"""The boundary to judges: prompts go out, raw answers come back, and Spark reads the scores.
 
-A provider is any picklable object with ``complete(prompts) -> list[str]`` that returns JSON texts. Whatever
-can't be read as a score becomes a row with score 0 and a parse error as its reasoning.
+Answers may be recorded in a table (``qa_id, metric, sample, raw``) or come from a provider, any picklable object
+with ``complete(prompts) -> list[str]`` that is called inside tasks. Whatever can't be read as a score becomes a
+row with score 0 and a parse error as its reasoning.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import time
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoglens.operators.ordered import within_budget
 
 ANCHORS = "Scale: 1.0 fully right and grounded, 0.5 partly, 0.0 wrong, off the point or made up.\n"
 PLAIN = "\nJudge content and grounds alone; length and style earn nothing."
-SCHEMA = "qa_id string, metric string, sample int, score double, reasoning string, tokens long"
+PARTS = ("Metric", "Question", "Contexts", "Answer")
+# What in an error's name, or which status, says that the call may succeed when tried again.
+TRANSIENT = ("ratelimit", "timeout", "apiconnection", "internalserver", "serviceunavailable")
+STATUSES = (408, 409, 429, 500, 502, 503, 504)
 
 
 class Provider(Protocol):
     def complete(self, prompts: Sequence[str]) -> list[str]: ...
 
 
-#: What each metric asks: which of the parts is looked for in which.
-ASKS = {"faithfulness": ("Answer", "Contexts"), "answer_relevance": ("Answer", "Question"), "context_precision": ("Contexts", "Question"), "context_recall": ("Question", "Contexts")}
-PARTS = ("Metric", "Question", "Contexts", "Answer")
+def transient(error: BaseException) -> bool:
+    status = getattr(error, "status_code", None) or getattr(error, "status", None)
+    return status in STATUSES or any(x in type(error).__name__.lower() for x in TRANSIENT)
+
+
+def read_scores(answers: DataFrame) -> DataFrame:
+    """Replaces ``raw`` by ``score, reasoning``: those of a JSON object, or 0 and a parse error."""
+    found = F.from_json("raw", "score string, reasoning string, bad string", {"columnNameOfCorruptRecord": "bad"})
+    rows = answers.withColumn("found", found)
+    score = F.when(F.col("found.bad").isNull(), F.expr("try_cast(found.score as double)"))
+    failed = F.concat(F.lit("Parse error: "), F.substring(F.coalesce("raw", F.lit("no answer")), 1, 80))
+    return rows.withColumns({"score": F.coalesce(score, F.lit(0.0)), "reasoning": F.when(score.isNull(), failed).otherwise(F.coalesce("found.reasoning", F.lit("")))}).drop("found", "raw")
 
 
-class OverlapJudge:
-    """An offline provider: the share of one part's words that another holds, as the prompt's metric asks."""
+def requests(pairs: DataFrame, metrics: Sequence[str], samples: int = 1) -> DataFrame:
+    """``qa_id, metric, sample`` for each pair."""
+    each = pairs.select("qa_id", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    return each.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
 
-    def complete(self, prompts: Sequence[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            part = dict(re.findall(r"(?ms)^<(\w+)>(.*?)</\1>$", p))
-            of, among = ASKS.get(part.get("Metric", ""), ASKS["answer_relevance"])
-            words, known = (set(part.get(x, "").lower().split()) for x in (of, among))
-            out.append(json.dumps({"score": len(words & known) / len(words) if words else 0.0, "reasoning": "shared words"}))
-        return out
 
+def recorded(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """``qa_id, metric, sample, score, reasoning`` of requests, from a table of answers."""
+    return read_scores(asked.select("qa_id", "metric", "sample").join(answers.select("qa_id", "metric", "sample", "raw"), ["qa_id", "metric", "sample"], "left"))
 
-def read_score(raw: str | None) -> tuple[float, str]:
-    """(score, reasoning) of a JSON object; 0 and a parse error for anything else."""
-    try:
-        found = json.loads(raw)
-        return float(found["score"]), str(found.get("reasoning", ""))
-    except (TypeError, ValueError, KeyError, AttributeError):
-        return 0.0, f"Parse error: {str(raw)[:80]}"
 
+def part(name: str, text: Column) -> Column:
+    """A marked part; marks within the text lose their bracket, so that it ends no part early."""
+    marks = "|".join(PARTS)
+    return F.concat(F.lit(f"<{name}>"), F.regexp_replace(F.coalesce(text, F.lit("")), f"<(/?(?:{marks})>)", "&lt;$1"), F.lit(f"</{name}>"))
 
-def prompt_for(pairs: DataFrame, anchors: bool = True, length_note: bool = True):
+
+def prompt_for(pairs: DataFrame, anchors: bool = True, length_note: bool = True) -> Column:
     """A prompt column: metric, question, contexts (empty if the pairs have none) and answer in marked parts,
     anchors of the scale ahead and the note on length behind."""
-    contexts = F.coalesce(F.col("contexts_text"), F.lit("")) if "contexts_text" in pairs.columns else F.lit("")
-    held = dict(zip(PARTS, (F.col("metric"), F.col("question"), contexts, F.col("answer")), strict=True))
-    body = F.concat_ws("\n", *(F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>")) for name, x in held.items()))
+    contexts = F.col("contexts_text") if "contexts_text" in pairs.columns else F.lit("")
+    body = F.concat_ws("\n", *(part(n, x) for n, x in zip(PARTS, (F.col("metric"), F.col("question"), contexts, F.col("answer")), strict=True)))
     return F.concat(*([F.lit(ANCHORS)] if anchors else []), body, *([F.lit(PLAIN)] if length_note else []))
 
 
+def with_opinions(prompt: Column, opinions: Column, most: int = 120) -> Column:
+    """The prompt for a final verdict: ``opinions`` (structs ``provider, score, reasoning``) are listed behind it."""
+    line = lambda o: F.concat(F.lit("- "), o["provider"], F.lit(": "), F.format_number(o["score"], 2), F.lit(" ("), F.substring(F.coalesce(o["reasoning"], F.lit("")), 1, most), F.lit(")"))
+    return F.concat(prompt, F.lit("\n\nOther judges disagree. Weigh their opinions and give the final verdict.\n"), F.array_join(F.transform(opinions, line), "\n"))
+
+
 def judged(pairs: DataFrame, provider: Provider, metrics: Sequence[str], samples: int = 1, batch: int = 64, retries: int = 3, wait: float = 1.0, budget: int | None = None) -> DataFrame:
     """``qa_id, metric, sample, score, reasoning, tokens`` for each pair, metric and sample.
 
-    A batch that fails is tried again with growing waits, then recorded as failed. ``budget`` bounds the prompt
-    words of a task; what lies beyond is recorded as skipped, so that no row is lost.
+    A batch that fails for a passing reason is tried again with growing waits, then recorded as failed; other
+    errors are recorded at once. ``budget`` bounds the prompts' words over all tasks, in order of pair, metric
+    and sample; what lies beyond is recorded as skipped, so that no row is lost.
     """
-    each = pairs.withColumn("metric", F.explode(F.array(*map(F.lit, metrics)))).withColumn("prompt", prompt_for(pairs))
-    each = each.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    each = requests(pairs, metrics, samples).join(pairs, "qa_id").withColumn("prompt", prompt_for(pairs))
+    each = each.select("qa_id", "metric", "sample", "prompt", F.size(F.split(F.trim("prompt"), r"\s+")).cast("long").alias("tokens"))
+    skipped = None
+    if budget is not None:
+        cut = within_budget(each, ["qa_id", "metric", "sample"], F.col("tokens"), budget, scale=1)
+        each, skipped = cut.where("kept").drop("spent", "kept"), cut.where("not kept").select("qa_id", "metric", "sample")
 
     def ask(prompts: list[str]) -> list[str | None]:
         for turn in range(retries + 1):
             try:
                 return list(provider.complete(prompts))
-            except Exception:  # noqa: BLE001 - a provider may fail in any way
+            except Exception as error:  # noqa: BLE001 - a provider may fail in any way
+                if not transient(error):
+                    break
                 if turn < retries:
                     time.sleep(wait * 2**turn)
         return [None] * len(prompts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spent = 0
         for frame in frames:
             for at in range(0, len(frame), batch):
                 rows = frame.iloc[at : at + batch]
-                sizes = rows["prompt"].str.split().str.len()
-                if budget is not None and spent >= budget:
-                    found, sizes = [(0.0, "Parse error: over budget")] * len(rows), sizes * 0
-                else:
-                    found = [read_score(x) for x in ask(rows["prompt"].tolist())]
-                    spent += int(sizes.sum())
-                yield pd.DataFrame({"qa_id": rows["qa_id"], "metric": rows["metric"], "sample": rows["sample"], "score": [f[0] for f in found], "reasoning": [f[1] for f in found], "tokens": sizes.astype("int64")})
-
-    return each.select("qa_id", "metric", "sample", "prompt").mapInPandas(run, SCHEMA)
+                yield rows.assign(raw=ask(rows["prompt"].tolist())).drop(columns="prompt")
+
+    kind = pairs.schema["qa_id"].dataType.simpleString()
+    out = read_scores(each.mapInPandas(run, f"qa_id {kind}, metric string, sample int, tokens long, raw string"))
+    if skipped is not None:
+        out = out.unionByName(skipped.withColumns({"tokens": F.lit(0).cast("long"), "score": F.lit(0.0), "reasoning": F.lit("Parse error: over budget")}))
+    return out.select("qa_id", "metric", "sample", "score", "reasoning", "tokens")

@@ -32,14 +32,21 @@ def running_total(rows: DataFrame, order: Sequence[str], amount: str, out: str)
     return dealt.join(bases, "range_").withColumn(out, F.col("base_") + within).drop("range_", "base_")
 
 
-def mid_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds ``out``: ranks from 1 in order of ``value``, ties sharing the mean of theirs; null values have no row.
+def mid_ranks(rows: DataFrame, value: str, out: str, key: str | None = None) -> DataFrame:
+    """Adds ``out``: ranks from 1 in order of ``value``, within ``key`` if given, ties sharing the mean of theirs.
 
-    Values are counted before they are ordered, so many equal ones weigh as one row.
+    Values are counted before they are ordered, so many equal ones weigh as one row. Null values and keys have
+    no row.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c_"))
-    upto = running_total(counts, [value], "c_", "upto_")
-    return rows.join(upto.select(value, (F.col("upto_") - (F.col("c_") - 1) / 2).alias(out)), value)
+    by = [key, value] if key else [value]
+    known = rows.where(F.col(value).isNotNull() & (F.col(key).isNotNull() if key else F.lit(True)))
+    counts = known.groupBy(*by).agg(F.count(F.lit(1)).alias("c_"))
+    upto = running_total(counts, by, "c_", "upto_")
+    rank = F.col("upto_") - (F.col("c_") - 1) / 2
+    if not key:
+        return rows.join(upto.select(value, rank.alias(out)), value)
+    bases = upto.groupBy(key).agg(F.min(F.col("upto_") - F.col("c_")).alias("base_"))
+    return rows.join(upto.join(bases, key).select(*by, (rank - F.col("base_")).alias(out)), by)
 
 
 def within_budget(rows: DataFrame, order: Sequence[str], cost: Column, budget: float, scale: int = 1_000_000) -> DataFrame:

@@ -81,6 +81,16 @@ def review_priority(scores: DataFrame, margin: float = 0.1) -> DataFrame:
     return scores.groupBy("eval_id").agg((F.sum(doubt + near) / F.count(F.lit(1))).alias("priority"))
 
 
+def review_selection(scores: DataFrame, evaluations: DataFrame, quota: int = 20) -> DataFrame:
+    """Evaluations with ``needs_human_review``: the ``quota`` of largest priority, equal ones by id.
+
+    Each task keeps ``quota`` rows, and so many ids are broadcast to mark the rest.
+    """
+    best = review_priority(scores).select("eval_id", F.round("priority", 9).alias("priority")).orderBy(F.desc("priority"), "eval_id").limit(quota)
+    marked = F.broadcast(best.select("eval_id", F.lit(True).alias("needs_human_review")))
+    return evaluations.join(marked, "eval_id", "left").withColumn("needs_human_review", F.coalesce("needs_human_review", F.lit(False)))
+
+
 def bootstrap_ci(values: DataFrame, key: str = "metric", samples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """``key, mean, low, high, n``: percentile intervals of the mean from ``samples`` resamples of n out of n.
 
@@ -147,15 +157,22 @@ def ppi_mean(everything: DataFrame, labelled: DataFrame, samples: int = 1000, le
     return both.select((F.col("naive") + F.col("mean")).alias("point"), (F.col("naive") + F.col("low")).alias("ci_low"), (F.col("naive") + F.col("high")).alias("ci_high"), F.col("n").alias("n_labelled"), "n_total", "naive")
 
 
-def meta_evaluation(pairs: DataFrame) -> DataFrame:
-    """``n, mae, spearman, kappa`` of ``judge`` and ``human`` scores.
+def golden_pairs(scores: DataFrame, golden: DataFrame) -> DataFrame:
+    """``metric, judge, human`` of scores (``qa_id, metric, score``) that a golden set (``qa_id, metric, human_score``) has."""
+    both = scores.select("qa_id", "metric", F.col("score").alias("judge")).join(golden.select("qa_id", "metric", F.col("human_score").alias("human")), ["qa_id", "metric"])
+    return both.select("metric", "judge", "human")
+
+
+def meta_evaluation(pairs: DataFrame, key: str | None = None) -> DataFrame:
+    """``n, mae, spearman, kappa`` of ``judge`` and ``human`` scores, for each ``key`` if given.
 
     Spearman's coefficient is 0 without variance; kappa over five bins is 1 where chance agrees fully.
     """
-    both = mid_ranks(mid_ranks(pairs.select("judge", "human"), "judge", "rj"), "human", "rh")
+    by = [key] if key else []
+    both = mid_ranks(mid_ranks(pairs.select(*by, "judge", "human"), "judge", "rj", key), "human", "rh", key)
     both = both.withColumn("bj", five_bins(F.col("judge"))).withColumn("bh", five_bins(F.col("human")))
     bins = range(5)
-    sums = both.agg(
+    sums = both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(F.col("judge") - F.col("human"))).alias("mae"),
         F.when((F.stddev_pop("rj") > 0) & (F.stddev_pop("rh") > 0), F.corr("rj", "rh")).otherwise(0.0).alias("spearman"),
@@ -163,7 +180,7 @@ def meta_evaluation(pairs: DataFrame) -> DataFrame:
         sum((F.avg((F.col("bj") == b).cast("double")) * F.avg((F.col("bh") == b).cast("double")) for b in bins), F.lit(0.0)).alias("pe"),
     )
     kappa = F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))).otherwise(1.0)
-    return sums.select("n", "mae", F.coalesce("spearman", F.lit(0.0)).alias("spearman"), kappa.alias("kappa"))
+    return sums.select(*by, "n", "mae", F.coalesce("spearman", F.lit(0.0)).alias("spearman"), kappa.alias("kappa"))
 
 
 def total_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:

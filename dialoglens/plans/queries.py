@@ -118,11 +118,6 @@ def diagnosis_2x2(spark, sf_dir):
     return statistics.diagnosis_counts(views.scores(spark, sf_dir))
 
 
-@query("SELECT eval_id, metric, round(score, 6) AS score, round(confidence, 6) AS confidence, is_low_confidence FROM v_scores")
-def upsert_latest(spark, sf_dir):
-    return rounded(views.scores(spark, sf_dir), "score", "confidence")
-
-
 EVAL = "eval_id, call_id, tenant_id, run_id, review_status, level"
 EVAL_COLUMNS = EVAL.split(", ")
 
@@ -466,23 +461,6 @@ def evidence_sentence_counts(spark, sf_dir):
     return views.turns(spark, sf_dir).select("call_id", "turn_id", F.size(evidence_sentences(F.col("content"))).cast("long").alias("n_sentences"))
 
 
-def judge_word_sql(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda x: x <> ''))"
-
-
-@query(f"""{QA_SQL}, tr AS (SELECT call_id, string_agg('[' || upper(role) || '] ' || content, chr(10) ORDER BY turn_id) AS c FROM v_turns GROUP BY call_id
-), w AS (SELECT q.call_id, turn_index, {judge_word_sql("question")} AS q, {judge_word_sql("answer")} AS a, {judge_word_sql("c")} AS c FROM v_qa q JOIN tr USING (call_id)
-), m AS (SELECT call_id, turn_index, unnest(['faithfulness', 'answer_relevance', 'context_precision', 'context_recall']) AS metric, unnest([a, a, c, q]) AS of_, unnest([c, q, q, c]) AS among FROM w)
-SELECT call_id, turn_index, metric, CASE WHEN len(of_) = 0 THEN 0::DOUBLE ELSE len(list_intersect(of_, among)) / len(of_) END AS score FROM m""")
-def judge_batches(spark, sf_dir):
-    from dialoglens.config import METRICS
-    from dialoglens.operators.judge import OverlapJudge, judged
-
-    rows = views.turns(spark, sf_dir)
-    pairs = turns.question_answer_pairs(rows).join(turns.transcripts(rows).withColumnRenamed("transcript", "contexts_text"), "call_id")
-    return judged(pairs, OverlapJudge(), METRICS).join(pairs.select("qa_id", "call_id", "turn_index"), "qa_id").select("call_id", "turn_index", "metric", "score")
-
-
 @query("""SELECT run_id, count(*) AS n_evaluations, count(DISTINCT call_id) AS n_calls, min(evaluated_at) AS started_at, run_id = (SELECT max(run_id) FROM v_eval) AS is_latest FROM v_eval GROUP BY run_id""")
 def run_list(spark, sf_dir):
     return served.runs(views.evaluations(spark, sf_dir))
@@ -545,19 +523,3 @@ def consistency_scores(spark, sf_dir):
     answers = turns.session_shape(views.turns(spark, sf_dir)).select("call_id", F.col("bot_turns").alias("n_answers"))
     judged = answers.select("call_id", F.lit(None).cast("double").alias("score"), (F.col("call_id") % 3 != 0).alias("consistent"))
     return scoring.consistency(answers, judged)
-
-
-@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, avg(value) AS mean
-FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, event_type NULLS FIRST, value NULLS FIRST) AS nth FROM events WHERE ts IS NOT NULL)
-WHERE nth = 1 GROUP BY 1, 2""")
-def score_stream(spark, sf_dir):
-    from dialoglens.streaming.scores import daily_means_of
-
-    return daily_means_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
-@query()
-def audit_report(spark, sf_dir):
-    from dialoglens.plans.audit import audit
-
-    return audit(views.turns(spark, sf_dir)).summary

@@ -5,11 +5,14 @@ A reviewer's value is never written into a score: ``final_scores`` lays the late
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialoglens.functions.numbers import exact_mean
+from dialoglens.operators.ordered import running_total
 from dialoglens.operators.statistics import below_sla, diagnosed, flagged_calls
 
 AGREED = ("approved", "overridden")
@@ -108,6 +111,27 @@ def runs(evaluations: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(last)).select("run_id", "n_evaluations", "n_calls", "started_at", (F.col("run_id") == F.col("last")).alias("is_latest"))  # one row
 
 
+def stored_runs(summaries: DataFrame) -> DataFrame:
+    """Runs of a store (``run_id, generated_at, total_calls, total_evaluations, flagged_count``), which all have a summary."""
+    return summaries.select("run_id", "generated_at", "total_calls", "total_evaluations", "flagged_count", F.lit(True).alias("has_summary"))
+
+
+def all_runs(stored: DataFrame, traced: DataFrame) -> DataFrame:
+    """Stored runs and those that only traces know, with their ``place`` from 1: the latest first, undated ones last, equal times by id.
+
+    Runs are few; their places come from totals of ranges all the same.
+    """
+    more = traced.join(stored.select("run_id"), "run_id", "left_anti")
+    every = stored.unionByName(more.select(stored.columns)).withColumn("one_", F.lit(1))
+    every = every.withColumn("late_", F.coalesce(-F.unix_micros(F.col("generated_at").cast("timestamp")), F.lit((1 << 63) - 1)))
+    return running_total(every, ["late_", "run_id"], "one_", "place").drop("one_", "late_")
+
+
+def run_scores(summaries: DataFrame, metrics: DataFrame) -> DataFrame:
+    """A row for each run and metric: the runs table with its metric table; runs without metrics have one row."""
+    return summaries.join(metrics, "run_id", "left")
+
+
 def latest_of_tenants(evaluations: DataFrame, limit: int) -> DataFrame:
     """Each tenant's ``limit`` latest evaluations with their ``place`` from 1; equal times by id."""
     order = Window.partitionBy("tenant_id").orderBy(F.desc("evaluated_at"), "eval_id")
@@ -141,6 +165,58 @@ def conversations(evaluations: DataFrame, scores: DataFrame) -> DataFrame:
     return out.select("call_id", "tenant_id", "n_turn_evals", (F.col("n_turn_evals") > 1).alias("is_multiturn"), "pending", "started_at", "session_score")
 
 
+def listed_conversations(found: DataFrame, kind: str = "all", text: str = "", columns: tuple[str, ...] = ("call_id", "subscriber_id")) -> DataFrame:
+    """Conversations of a kind (all, multiturn, singleturn, pending) whose id or subscriber holds a text, in any case; blank: all."""
+    tests = {"all": F.lit(True), "multiturn": F.col("is_multiturn"), "singleturn": ~F.col("is_multiturn"), "pending": F.coalesce("pending", F.lit(0)) > 0}
+    if kind not in tests:
+        raise ValueError(f"unknown kind: {kind}")
+    out = found.where(tests[kind])
+    if not text.strip():
+        return out
+    holds = [F.coalesce(F.lower(F.col(c).cast("string")).contains(text.lower()), F.lit(False)) for c in columns if c in out.columns]
+    return out.where(reduce(lambda a, b: a | b, holds))
+
+
+def drill_down(evaluations: DataFrame, scores: DataFrame, kind: str, metric: str | None = None, limit: float = 0.8) -> DataFrame:
+    """Evaluations behind a figure: those whose ``metric`` is below the limit, pending ones, or one for each conversation."""
+    if kind == "metric":
+        return below(evaluations, scores, metric, limit)
+    if kind == "pending":
+        return evaluations.where("review_status = 'pending'")
+    if kind == "calls":
+        return first_of_calls(evaluations)
+    raise ValueError(f"unknown kind: {kind}")
+
+
+def first_of_calls(evaluations: DataFrame) -> DataFrame:
+    """The evaluation of least id of each conversation; an aggregate, so that a long conversation isn't sorted."""
+    others = [c for c in evaluations.columns if c != "call_id"]
+    kept = evaluations.groupBy("call_id").agg(F.min_by(F.struct(*others), "eval_id").alias("e"))
+    return kept.select("call_id", *(F.col(f"e.{c}").alias(c) for c in others)).select(evaluations.columns)
+
+
+def score_metrics(scores: DataFrame) -> DataFrame:
+    """``metric``: all names that scores have."""
+    return scores.select("metric").where("metric is not null").distinct()
+
+
+def knowledge_sources(evaluations: DataFrame, contexts: DataFrame, listed: int = 10) -> DataFrame:
+    """``tenant_id, chunk_count, document_count, source_names``: distinct chunks and sources of what turns retrieved.
+
+    ``contexts`` is ``eval_id, chunk_id, source``. Empty chunk ids don't count; a missing source is ``doc``; the first
+    ``listed`` names are listed.
+    """
+    rows = evaluations.where("level = 'turn'").select("eval_id", "tenant_id").join(contexts, "eval_id")
+    source = F.coalesce(F.col("source").cast("string"), F.lit("doc"))
+    chunks = rows.where(F.coalesce("chunk_id", F.lit("")) != "").groupBy("tenant_id").agg(F.countDistinct("chunk_id").alias("chunk_count"))
+    names = rows.select("tenant_id", source.alias("source")).distinct()
+    first = names.withColumn("place", F.row_number().over(Window.partitionBy("tenant_id").orderBy("source"))).where(F.col("place") <= listed)
+    first = first.groupBy("tenant_id").agg(F.array_sort(F.collect_list("source")).alias("source_names"))
+    counts = names.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("document_count"))
+    out = counts.join(chunks, "tenant_id", "left").join(first, "tenant_id")
+    return out.select("tenant_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "document_count", "source_names")
+
+
 def agreement_samples(evaluations: DataFrame, scores: DataFrame, reviews: DataFrame) -> DataFrame:
     """``tenant_id, eval_id, metric, auto_score, human_score, delta, agree`` of reviewed evaluations.
 

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import html
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from dialoglens.sources.tables import BucketTable, latest
 
 
 def save_stage(df: DataFrame, root: str, run_id: str, stage: str) -> DataFrame:
@@ -22,36 +18,19 @@ def save_stage(df: DataFrame, root: str, run_id: str, stage: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the largest ``order``, whole."""
-    others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r"))
-    return best.select(*keys, *(F.col(f"r.{c}").alias(c) for c in others)).select(rows.columns)
-
-
 def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], order: str) -> DataFrame:
-    """Merges ``new`` into the Parquet table at ``path``: the latest row of each key stays, columns may be added.
+    """Merges ``new`` into the bucketed table at ``path``: the latest row of each key stays, columns may be added.
 
-    The merged table is written beside the old one and named by a pointer file last, so a failure midway leaves
-    the old one in place. Each version lies in a folder of its own.
+    Only buckets with changed rows are rewritten; a failure midway leaves the version before.
     """
-    old = current(spark, path)
-    both = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    latest(both, keys, order).write.parquet(version)
-    n = 0 if old is None else pointer(spark, path)[0] + 1
-    spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{path}/_pointers")
-    return spark.read.parquet(version)
-
-
-def pointer(spark: SparkSession, path: str) -> tuple[int, str]:
-    row = spark.read.schema("n long, version string").json(f"{path}/_pointers").orderBy(F.desc("n")).first()
-    return row["n"], row["version"]
+    table = BucketTable(spark, path, keys)
+    table.upsert(new, keys, order)
+    return table.scan()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The table that ``upsert`` last completed; None before the first."""
-    return spark.read.parquet(pointer(spark, path)[1]) if exists(spark, f"{path}/_pointers") else None
+    return BucketTable(spark, path, []).scan()
 
 
 def record_reviews(reviews: DataFrame, path: str) -> None:

@@ -189,7 +189,7 @@ def test_steps_and_settings(spark):
 
 
 def test_score_stream_covers_its_table(spark, sf):
-    from dialoglens.plans.queries import QUERIES
+    from __spark_entry__ import queries
 
     events = spark.read.parquet(f"{sf}/events.parquet").where("ts is not null")
-    assert QUERIES["score_stream"](spark, sf).agg(F.sum("n")).first()[0] == events.select("event_id").distinct().count()
+    assert queries()["score_stream"](spark, sf).agg(F.sum("n")).first()[0] == events.select("event_id").distinct().count()
