@@ -6,11 +6,22 @@ before stripping in JSON, after it in CSV and text files; numbers have gaps in J
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from dialoglens.functions.text import stem, strip
+from dialoglens.sources.storage import kept
 
 ROLES = ("user", "bot", "system")
 JSON = (
@@ -84,15 +95,105 @@ def read_call_logs(spark: SparkSession, folder: str, shortest: int = 5) -> DataF
     return read_json(spark, folder, shortest).unionByName(read_csv(spark, folder, shortest)).unionByName(read_text(spark, folder, shortest))
 
 
+@dataclass(frozen=True)
+class Logs:
+    """``turns`` of the files that could be read; ``rejected``: ``path, reason`` of all others."""
+
+    turns: DataFrame
+    rejected: DataFrame
+
+
+class Rejected(Exception):
+    """A file that is no call log, and why."""
+
+
+def json_turns(text: str, shortest: int) -> tuple[dict, list[tuple]]:
+    try:
+        found = json.loads(text)
+    except ValueError:
+        raise Rejected("not JSON") from None
+    listed = found.get("turns", []) if isinstance(found, dict) else None
+    if not isinstance(listed, list) or not all(isinstance(t, dict) for t in listed):
+        raise Rejected("no list of turns")
+    rows = [(i, t.get("role") or "user", t.get("content") or "", t.get("timestamp")) for i, t in enumerate(listed)]
+    return found, [r for r in rows if len(r[2]) >= shortest]
+
+
+def csv_turns(text: str, shortest: int) -> tuple[dict, list[tuple]]:
+    table = csv.DictReader(io.StringIO(text, newline=""))
+    if not {"role", "content"} <= set(table.fieldnames or ()):
+        raise Rejected("no columns role and content")
+    rows = list(table)
+    said = [(i, r["role"] or "user", (r["content"] or "").strip(), r.get("timestamp")) for i, r in enumerate(rows)]
+    return (rows[0] if rows else {}), [r for r in said if len(r[2]) >= shortest]
+
+
+def text_turns(text: str, shortest: int) -> tuple[dict, list[tuple]]:
+    ids, rows = {}, []
+    for line in map(str.strip, re.split(r"\r\n|\n|\r", text)):
+        if head := re.match(HEADER, line):
+            ids = {"call_id": head[1].strip(), "subscriber_id": head[2].strip()}
+        elif (said := re.match(TURN, line)) and len(said[3].strip()) >= shortest:
+            rows.append((len(rows), said[2].lower(), said[3].strip(), said[1]))
+    return ids, rows
+
+
+KINDS = {"json": json_turns, "csv": csv_turns, "txt": text_turns}
+PARSED = "path string, reason string, call_id string, subscriber_id string, started_at string, ended_at string, turns array<struct<turn_id: int, role: string, content: string, said_at: string>>"
+
+
+def parsed(path: str, content: bytes, shortest: int) -> dict:
+    """One file's ids and turns, or the reason why it has none."""
+    name = path.rsplit("/", 1)[-1]
+    stem_, _, suffix = name.rpartition(".")
+    try:
+        if suffix.lower() not in KINDS:
+            raise Rejected("unknown suffix")
+        try:
+            text = content.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            raise Rejected("not UTF-8") from None
+        ids, rows = KINDS[suffix.lower()](text, shortest)
+        if bad := next((r[1] for r in rows if r[1] not in ROLES), None):
+            raise Rejected(f"unknown role: {bad}")
+        if not rows:
+            raise Rejected("no turns")
+    except Rejected as reason:
+        return dict(path=path, reason=str(reason))
+    turns = [dict(turn_id=i, role=role, content=said.strip(), said_at=at) for i, role, said, at in rows]
+    return dict(path=path, call_id=ids.get("call_id") or stem_, subscriber_id=ids.get("subscriber_id") or "unknown", started_at=ids.get("started_at"), ended_at=ids.get("ended_at"), turns=turns)
+
+
+def scan_call_logs(spark: SparkSession, folder: str, shortest: int = 5) -> Logs:
+    """All files under a folder in one scan: each gives turns or stands among the rejected, none both, none neither.
+
+    A file lies in one task whole, as a call log is one call. Turns are those of ``read_call_logs``.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [parsed(p, c, shortest) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+    found = kept(raw.mapInArrow(run, PARSED), "logs")
+    ids = ["call_id", "subscriber_id", moment(F.col("started_at")).alias("started_at"), moment(F.col("ended_at")).alias("ended_at")]
+    rows = found.where("reason is null").select(*ids, F.explode("turns").alias("t"), "path").select("call_id", "subscriber_id", "started_at", "ended_at", "t.turn_id", "t.role", "t.content", moment(F.col("t.said_at")).alias("said_at"), "path")
+    return Logs(rows.select(COLUMNS), found.where("reason is not null").select("path", "reason"))
+
+
 def quarantined(spark: SparkSession, folder: str) -> DataFrame:
-    """``path`` of the JSON logs that can't be read."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
-    read = F.from_json("value", JSON, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return raw.select(F.col("_metadata.file_path").alias("path"), read.alias("r")).where("r._corrupt_record is not null").select("path")
+    """``path, reason`` of the files that give no turns."""
+    return scan_call_logs(spark, folder).rejected
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """``qa_id, metric, human_score`` of a JSON-lines file; bad lines are skipped, the last of equal keys counts."""
+    """``qa_id, metric, human_score`` of JSON-lines files; bad lines are skipped, the last of equal keys counts.
+
+    Lines go by file, then by their place in it, however the files are split.
+    """
     raw = spark.read.schema("qa_id string, metric string, human_score double").option("mode", "DROPMALFORMED").json(path)
-    rows = raw.where("qa_id is not null and metric is not null").withColumn("at", F.monotonically_increasing_id())
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    rows = raw.select("*", at.alias("at")).where("qa_id is not null and metric is not null")
     return rows.groupBy("qa_id", "metric").agg(F.max_by("human_score", "at").alias("human_score"))

@@ -10,7 +10,7 @@ from dialoglens.functions.numbers import cosine, five_bins
 from dialoglens.functions.pii import detected, masked
 from dialoglens.functions.text import pairs, search_terms, token_set, without_numbering, word_count
 from dialoglens.operators import retrieval, scoring, statistics, turns
-from dialoglens.operators.judge import judged, read_score
+from dialoglens.operators.judge import judged
 from dialoglens.sources import call_logs, writers
 
 
@@ -142,7 +142,7 @@ def test_call_logs(spark, tmp_path):
     (tmp_path / "d.xml").write_text("<x/>")
     got = rows(call_logs.read_call_logs(spark, str(tmp_path)).select("call_id", "subscriber_id", "turn_id", "role", "content"), "call_id", "turn_id")
     assert got == [("A", "unknown", 0, "user", ""), ("A", "unknown", 2, "bot", "long enough"), ("B", "S", 0, "user", "hello there"), ("B", "S", 2, "bot", "the answer"), ("C", "T", 0, "user", "a question"), ("C", "T", 1, "bot", "an answer"), ("noid", "unknown", 0, "user", "a question")]
-    assert call_logs.quarantined(spark, str(tmp_path)).count() == 1
+    assert {r["path"].rsplit("/", 1)[-1] for r in call_logs.quarantined(spark, str(tmp_path)).collect()} == {"broken.json", "bad_role.json", "d.xml"}
 
 
 def test_golden_set(spark, tmp_path):
@@ -171,7 +171,6 @@ def test_judge(spark):
     pairs = spark.createDataFrame([("q", "a b", "a b")], "qa_id string, question string, answer string")
     got = judged(pairs, Broken(), ("m",), samples=2, retries=0).collect()
     assert len(got) == 2 and all(r["score"] == 0 and r["reasoning"].startswith("Parse error") for r in got)
-    assert read_score('{"score": null}')[0] == 0 and read_score("[]")[0] == 0 and read_score('{"score": 0.5}')[0] == 0.5
 
 
 def test_steps_and_settings(spark):
