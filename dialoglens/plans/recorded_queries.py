@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from dialoglens.config import METRICS
 from dialoglens.functions.pii import EXTENDED, KOREAN, detected
-from dialoglens.functions.text import grounding, pooled_grounding, words
+from dialoglens.functions.numbers import score_band
+from dialoglens.functions.text import context_block, grounding, pooled_grounding, sentences, without_numbering, words
 from dialoglens.operators import dispatch, judge, retrieval, scoring, statistics, turns
 from dialoglens.plans import served
 from dialoglens.plans.queries import BM25_SQL, EVAL, EVAL_COLUMNS, EXACT, HASHED_SQL, MEANS_SQL, QA_SQL, TERMS_SQL, corpus, halves, mod_100_sql, query, rounded, tokens_sql, trend_sql
-from dialoglens.sources import views, writers
+from dialoglens.sources import runs, views, writers
 from dialoglens.sources.progress import Progress
+from dialoglens.sources.runs import RunStore
 from dialoglens.sources.storage import kept, working_folder
 from dialoglens.sources.tables import ChunkIndex
 from dialoglens.streaming import scores as streams
@@ -247,6 +249,19 @@ def drill_metric(spark, sf_dir):
     return served.drill_down(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir), "metric", "context_recall").select(EVAL_COLUMNS)
 
 
+@query("""SELECT call_id, tenant_id, min(evaluated_at) AS started_at, row_number() OVER (ORDER BY min(evaluated_at) DESC, call_id, tenant_id) AS place FROM v_eval GROUP BY call_id, tenant_id
+  ORDER BY started_at DESC, call_id, tenant_id LIMIT 50 OFFSET 5""")
+def conversations_page(spark, sf_dir):
+    found = served.conversations(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir))
+    return served.conversation_page(found, 50, 5).select("call_id", "tenant_id", "started_at", "place")
+
+
+@query(f"""{trend_sql("run_id")} ORDER BY tenant_id, bucket, metric LIMIT 100""")
+def trend_page(spark, sf_dir):
+    points = served.trends(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir), "run")
+    return points.orderBy("tenant_id", "bucket", "metric").limit(100)
+
+
 @query("SELECT DISTINCT metric FROM v_scores WHERE metric IS NOT NULL")
 def score_metrics(spark, sf_dir):
     return served.score_metrics(views.scores(spark, sf_dir))
@@ -348,6 +363,78 @@ def golden_set(spark, sf_dir):
     return rounded(writers.golden_set(log), "human_score")
 
 
+@query(f"{MEANS_SQL}{RUNS_SQL} SELECT e.run_id, generated_at, total_calls, total_evaluations, flagged_count, metric, mean, n FROM every e LEFT JOIN means m ON m.run_id = e.run_id WHERE generated_at IS NOT NULL")
+def stored_runs(spark, sf_dir):
+    """All dated runs recorded twice, the second time with what is true now, and listed with their metrics."""
+    _, traced = run_tables(spark, sf_dir)
+    now = traced.drop("has_summary").where("generated_at is not null")
+    means = served.run_means(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir))
+    store = RunStore(spark, folder(spark, "runs"))
+    older = now.withColumns({"generated_at": F.col("generated_at") - F.expr("interval 1 day"), "flagged_count": F.lit(0).cast("long")})
+    store.record(older, means.withColumn("mean", F.lit(0.5)))
+    store.record(now, means)
+    return store.list()
+
+
+@query(f"{MEANS_SQL} SELECT run_id, metric, mean, n FROM means")
+def run_traces(spark, sf_dir):
+    """Each run's means as JSON traces, saved twice; the newest of each is read."""
+    means, root = kept(served.run_means(views.evaluations(spark, sf_dir), views.scores(spark, sf_dir)), "means"), folder(spark, "traces")
+    for stamp, table in (("20240101", means.withColumn("mean", F.lit(0.0))), ("20240102", means)):
+        for half in (0, 1):  # two runs' worth of folders, whatever the number of runs
+            runs.save_trace(table.where(F.pmod(F.xxhash64("run_id"), F.lit(2)) == half).withColumnRenamed("run_id", "of"), root, f"half{half}", "cp5_audit_summary", stamp)
+    found = runs.latest_traces(spark, root, "cp5_audit_summary", "of string, metric string, mean double, n long")
+    return found.select(F.col("of").alias("run_id"), "metric", "mean", "n")
+
+
+@query(f"""SELECT {EVAL} FROM v_eval WHERE tenant_id = 1 AND review_status = 'pending' AND eval_id IN (SELECT eval_id FROM v_scores WHERE metric = 'faithfulness' AND score < 0.7) AND eval_id IN (SELECT eval_id FROM v_scores WHERE is_low_confidence)
+  UNION ALL SELECT {EVAL} FROM v_eval WHERE run_id = 'run_20240110' AND call_id = 7""")
+def evals_scoped(spark, sf_dir):
+    ev, scores = views.evaluations(spark, sf_dir), views.scores(spark, sf_dir)
+    both = served.filtered(ev, scores, tenant=1, status="pending", metric="faithfulness", limit=0.7, low=True).unionByName(served.filtered(ev, scores, run="run_20240110", call=7))
+    return both.select(EVAL_COLUMNS)
+
+
+@query("""SELECT call_id, string_agg(CASE role WHEN 'user' THEN 'Customer' WHEN 'bot' THEN 'Agent' ELSE role END || ': ' || content, chr(10) ORDER BY turn_id) AS dialogue,
+  string_agg(nth || '. ' || content, chr(10) ORDER BY turn_id) FILTER (role = 'bot') AS answers, coalesce(string_agg('[' || nth || '] (chunk_id=' || turn_id || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY turn_id) FILTER (role = 'bot'), '(none)') AS block
+  FROM (SELECT *, row_number() OVER (PARTITION BY call_id, role ORDER BY turn_id) AS nth FROM v_turns) GROUP BY call_id""")
+def call_texts(spark, sf_dir):
+    """The texts that judges read: a dialogue with names, numbered answers, answers as a block of contexts."""
+    rows = views.turns(spark, sf_dir)
+    listed = rows.groupBy("call_id").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "bot", F.struct("turn_id", "content")))).alias("l"))
+    block = listed.select("call_id", context_block(F.transform("l", lambda x: F.struct(x["turn_id"].cast("string").alias("chunk_id"), x["content"].alias("content")))).alias("block"))
+    out = turns.dialogues(rows, {"user": "Customer", "bot": "Agent"}).join(turns.bot_answer_lists(rows).drop("n_answers"), "call_id", "left")
+    return out.join(block, "call_id").select("call_id", "dialogue", "answers", "block")
+
+
+@query(r"""SELECT call_id, turn_id, len(list_filter(regexp_split_to_array(content, '[.!?。\n]'), lambda x: length(trim(x)) > 3)) AS n_sentences, regexp_replace(trim(content), '^[0-9.\-) ]+', '') AS bare FROM v_turns""")
+def turn_sentences(spark, sf_dir):
+    return views.turns(spark, sf_dir).select("call_id", "turn_id", F.size(sentences(F.col("content"))).cast("long").alias("n_sentences"), without_numbering(F.col("content")).alias("bare"))
+
+
+@query("""SELECT eval_id, metric, round(score, 4) AS score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'middle' ELSE 'low' END AS band FROM v_scores""")
+def score_bands(spark, sf_dir):
+    return views.scores(spark, sf_dir).select("eval_id", "metric", F.round("score", 4).alias("score"), score_band(F.col("score")).alias("band"))
+
+
+@query("""SELECT call_id, metric, round(score, 6) AS score FROM (
+  SELECT call_id, unnest(['resolution', 'efficiency', 'escalation_handling']) AS metric, unnest([coalesce(r, resolved::INT), coalesce(e, 1), CASE WHEN needed THEN 0 ELSE 1 END::DOUBLE]) AS score
+  FROM (SELECT call_id, bool_or(review_status = 'approved') AS resolved, CASE WHEN call_id % 2 = 0 THEN min(eval_id) % 10 / 10 END AS r, CASE WHEN count(*) > 12 THEN 0.5 END::DOUBLE AS e, bool_or(review_status = 'skipped') AS needed FROM v_eval GROUP BY call_id)
+  UNION ALL SELECT e.call_id, 'consistency', CASE WHEN n < 2 THEN 1 WHEN e.call_id % 5 = 0 THEN 0.4 ELSE (e.call_id % 3 <> 0)::INT END FROM (SELECT DISTINCT call_id FROM v_eval) e JOIN (SELECT call_id, count(*) FILTER (role = 'bot') AS n FROM v_turns GROUP BY 1) t ON t.call_id = e.call_id
+  UNION ALL SELECT e.call_id, 'gt_similarity', greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) FROM (SELECT DISTINCT call_id FROM v_eval) e JOIN embeddings a ON a.vec_id = e.call_id JOIN embeddings b ON b.vec_id = e.call_id + 1)""")
+def session_reports(spark, sf_dir):
+    """Session metrics with given and missing scores, consistency of the calls' answers, likeness of two vectors."""
+    by = views.evaluations(spark, sf_dir).groupBy("call_id").agg(
+        F.bool_or(F.col("review_status") == "approved").alias("resolved"), F.min("eval_id").alias("first"),
+        F.when(F.count(F.lit(1)) > 12, 0.5).alias("efficiency_score"), F.bool_or(F.col("review_status") == "skipped").alias("escalation_needed"))
+    by = by.withColumn("resolution_score", F.when(F.col("call_id") % 2 == 0, F.col("first") % 10 / 10))
+    answers = turns.session_shape(views.turns(spark, sf_dir)).select("call_id", F.col("bot_turns").alias("n_answers"))
+    judged = answers.select("call_id", F.when(F.col("call_id") % 5 == 0, 0.4).alias("score"), (F.col("call_id") % 3 != 0).alias("consistent"))
+    v = views.table(spark, sf_dir, "embeddings")
+    similar = v.select(F.col("vec_id").alias("call_id"), F.col("embedding").alias("answers")).join(v.select((F.col("vec_id") - 1).alias("call_id"), F.col("embedding").alias("truth")), "call_id")
+    return rounded(scoring.session_evaluations(by, scoring.consistency(answers, judged), similar), "score")
+
+
 AUDIT_SQL = f"""{QA_SQL}, tr AS (SELECT call_id, string_agg('[' || upper(role) || '] ' || content, chr(10) ORDER BY turn_id) AS transcript FROM v_turns GROUP BY call_id
 ){CHUNKED_SQL.format(id="call_id", text="transcript", rel="tr")}
 , documents AS (SELECT sha256(sha256(concat(id, '|p|', p)) || '|c|' || c) AS doc_id, array_to_string(cw, ' ') AS text FROM c

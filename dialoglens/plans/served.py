@@ -135,7 +135,8 @@ def run_scores(summaries: DataFrame, metrics: DataFrame) -> DataFrame:
 def latest_of_tenants(evaluations: DataFrame, limit: int) -> DataFrame:
     """Each tenant's ``limit`` latest evaluations with their ``place`` from 1; equal times by id."""
     order = Window.partitionBy("tenant_id").orderBy(F.desc("evaluated_at"), "eval_id")
-    return evaluations.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+    best = evaluations.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return best.withColumn("place", F.col("place").cast("long"))
 
 
 def with_diagnosis(evaluations: DataFrame, scores: DataFrame, category: str) -> DataFrame:
@@ -177,6 +178,14 @@ def listed_conversations(found: DataFrame, kind: str = "all", text: str = "", co
     return out.where(reduce(lambda a, b: a | b, holds))
 
 
+def conversation_page(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One page of conversations with their ``place`` from 1, the latest first; a task keeps ``limit + offset`` rows at most."""
+    page = found.orderBy(F.desc_nulls_last("started_at"), "call_id", "tenant_id").limit(limit + offset)
+    # the page is small: one task numbers it
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("started_at"), "call_id", "tenant_id"))
+    return page.withColumn("place", place.cast("long")).where(F.col("place") > offset)
+
+
 def drill_down(evaluations: DataFrame, scores: DataFrame, kind: str, metric: str | None = None, limit: float = 0.8) -> DataFrame:
     """Evaluations behind a figure: those whose ``metric`` is below the limit, pending ones, or one for each conversation."""
     if kind == "metric":

@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from dialoglens import config
 from dialoglens.functions.text import grounding, pooled_grounding
 from dialoglens.operators import dispatch, judge, retrieval, scoring, statistics
 from dialoglens.plans import served
-from dialoglens.sources import call_logs, writers
+from dialoglens.sources import call_logs, runs, writers
 from dialoglens.sources.progress import Progress, run_stages
 from dialoglens.sources.storage import Files
 from dialoglens.sources.tables import BucketTable, ChunkIndex
@@ -271,3 +272,36 @@ def test_every_log_is_read_or_rejected(spark, tmp_path):
     plain = ["call_id", "subscriber_id", "turn_id", "role", "content", "said_at"]
     rows = lambda df: sorted((tuple(r) for r in df.where(~name.isin("broken.json", "list.json", "latin.txt", "bad.csv")).select(plain).collect()), key=repr)
     assert rows(logs.turns) == rows(call_logs.read_call_logs(spark, str(tmp_path)))
+
+
+def test_runs_are_recorded_and_traced(spark, tmp_path):
+    at = lambda day: F.lit(f"2024-01-0{day}").cast("timestamp")
+    run = spark.createDataFrame([("r", 1, 2, 0)], "run_id string, total_calls long, total_evaluations long, flagged_count long")
+    means = spark.createDataFrame([("r", "m", 0.5), ("r", "n", 0.1)], "run_id string, metric string, mean double")
+    store = runs.RunStore(spark, str(tmp_path / "store"))
+    store.record(run.withColumn("generated_at", at(2)), means)
+    store.record(run.withColumn("generated_at", at(1)), means.withColumn("mean", F.lit(0.0)))
+    store.record(run.withColumns({"generated_at": at(3), "flagged_count": F.lit(7).cast("long")}), means.limit(1).withColumn("mean", F.lit(0.9)))
+    assert sorted((r["metric"], r["mean"], r["flagged_count"]) for r in store.list().collect()) == [("m", 0.9, 7), ("n", 0.1, 7)]
+    root = str(tmp_path / "traces")
+    assert runs.latest_traces(spark, root, "cp5", "x long").collect() == []
+    for run_id, stamp, x in (("a", "1", 1), ("a", "2", 2), ("b", "1", 3)):
+        runs.save_trace(spark.createDataFrame([(x,)], "x long"), root, run_id, "cp5", stamp)
+    unfinished = tmp_path / "traces" / "b" / "cp5_9"
+    unfinished.mkdir()
+    (unfinished / "part-0.json").write_text('{"x": 99}\n')
+    assert sorted(map(tuple, runs.latest_traces(spark, root, "cp5", "x long").collect())) == [(2, "a"), (3, "b")]
+    runs.full_report(means, run, str(tmp_path / "report"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert sorted(x["kind"] for x in lines) == ["evaluation", "summary", "summary"] and any(x["row"].get("flagged_count") == 0 for x in lines)
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"cp5": {"sla_thresholds": {"faithfulness": 0.8}}}')
+    assert config.lookup(runs.read_settings(spark, f"{tmp_path}/s.json"), "cp5.sla_thresholds.faithfulness") == 0.8
+    options = {"ensemble": {"enabled": False, "by": 3}, "routing": {"enabled": True}}
+    on = config.toggled(options, "ensemble.enabled", True)
+    assert config.switched_on(on) == {"ensemble": True, "routing": True} and config.switched_on(options)["ensemble"] is False
+    for path in ("ensemble.by", "nothing", "routing", "ensemble.enabled.more"):
+        with pytest.raises(ValueError):
+            config.toggled(options, path, True)
