@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from dialoglens.functions.numbers import score_band
 from dialoglens.functions.text import context_block, grounding, pooled_grounding, sentences, without_numbering, words
 from dialoglens.operators import dispatch, judge, retrieval, scoring, statistics, turns
 from dialoglens.plans import served
-from dialoglens.plans.queries import BM25_SQL, EVAL, EVAL_COLUMNS, EXACT, HASHED_SQL, MEANS_SQL, QA_SQL, TERMS_SQL, corpus, halves, mod_100_sql, query, rounded, tokens_sql, trend_sql
-from dialoglens.sources import runs, views, writers
+from dialoglens.plans.queries import BM25_SQL, CI_SQL, EVAL, EVAL_COLUMNS, EXACT, HASHED_SQL, MEANS_SQL, MULTINOMIAL_SQL, QA_SQL, REPLICATES, TERMS_SQL, binned_sql, corpus, halves, mod_100_sql, query, rounded, tokens_sql, trend_sql
+from dialoglens.sources import call_logs, runs, views, writers
 from dialoglens.sources.progress import Progress
 from dialoglens.sources.runs import RunStore
 from dialoglens.sources.storage import kept, working_folder
@@ -435,6 +436,72 @@ def session_reports(spark, sf_dir):
     return rounded(scoring.session_evaluations(by, scoring.consistency(answers, judged), similar), "score")
 
 
+@query("""SELECT call_id::VARCHAR AS call_id, 'S' || call_id AS subscriber_id, row_number() OVER (PARTITION BY call_id ORDER BY turn_id) - 1 AS turn_id, role, CASE call_id % 3 WHEN 2 THEN trim(regexp_replace(content, '\\s+', ' ', 'g')) ELSE content END AS content FROM v_turns""")
+def log_files(spark, sf_dir):
+    """All calls written as logs, a file each, JSON, CSV and text by turns, beside files that are none, and read in one scan."""
+    rows = turns.in_order(views.turns(spark, sf_dir)).withColumn("id", F.col("call_id").cast("string"))
+    path, kind = folder(spark, "logs"), F.col("call_id") % 3
+    said = F.array_sort(F.collect_list(F.struct("turn_id", "role", "content")))
+    calls = rows.groupBy("call_id", "id").agg(said.alias("t"))
+    subscriber = F.concat(F.lit("S"), F.col("id"))
+    listed = calls.where(kind == 0).select(F.col("call_id").alias("c"), F.struct(F.col("id").alias("call_id"), subscriber.alias("subscriber_id"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("turns")).alias("o"))
+    listed.select("c", "o.*").repartition("c").write.partitionBy("c").json(f"{path}/json")
+    table = rows.where(kind == 1).select(F.col("call_id").alias("c"), "id", subscriber.alias("subscriber_id"), F.lit("").alias("timestamp"), "role", "content", "place").withColumnRenamed("id", "call_id")
+    table.repartition("c").sortWithinPartitions("c", "place").drop("place").write.partitionBy("c").option("header", True).option("escape", '"').csv(f"{path}/csv")
+    line = lambda x: F.concat(F.lit("[-] "), F.upper(x["role"]), F.lit(": "), F.regexp_replace(x["content"], r"\s+", " "))
+    head = F.concat(F.lit("[CALL_ID: "), F.col("id"), F.lit("] [SUBSCRIBER: "), subscriber, F.lit("]"))
+    calls.where(kind == 2).select(F.col("call_id").alias("c"), F.array_join(F.concat(F.array(head), F.transform("t", line)), "\n").alias("value")).repartition("c").write.partitionBy("c").text(f"{path}/text")
+    spark.createDataFrame([("{",)], "value string").coalesce(1).write.text(f"{path}/bad")
+    return call_logs.scan_call_logs(spark, path).turns.select("call_id", "subscriber_id", F.col("turn_id").cast("long").alias("turn_id"), "role", "content")
+
+
+@query("SELECT eval_id::VARCHAR AS qa_id, metric, human_score FROM (SELECT eval_id, metric, round(confidence, 3) AS human_score, row_number() OVER (PARTITION BY eval_id, metric ORDER BY event_id DESC) AS nth FROM v_events) WHERE nth = 1")
+def golden_file(spark, sf_dir):
+    """A golden set of JSON lines with broken ones between; the last line of a key counts."""
+    rows = views.with_eval(spark, sf_dir).select("event_id", F.to_json(F.struct(F.col("eval_id").cast("string").alias("qa_id"), "metric", F.round("confidence", 3).alias("human_score"))).alias("line"))
+    path = folder(spark, "golden")
+    lines = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit('{"qa_id": '), F.lit("\n"), "line")).otherwise(F.col("line"))
+    rows.select("event_id", lines.alias("value")).repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return call_logs.read_golden(spark, path)
+
+
+@query("SELECT eval_id, metric, round(confidence, 6) AS human_score, event_id AS reviewed_at FROM v_events QUALIFY row_number() OVER (PARTITION BY eval_id, metric ORDER BY event_id DESC) = 1")
+def review_log(spark, sf_dir):
+    """Reviews appended to a log in two batches; the last of each evaluation and metric."""
+    rows = views.with_eval(spark, sf_dir).select("eval_id", "metric", F.round("confidence", 6).alias("human_score"), F.col("event_id").alias("reviewed_at"))
+    path = folder(spark, "reviews")
+    for late in (False, True):
+        writers.record_reviews(rows.where((F.col("reviewed_at") % 4 >= 2) == late), path)
+    return writers.latest_reviews(spark.read.parquet(path))
+
+
+def renamed(sql: str, mark: str) -> str:
+    return re.sub(r"\b(vals|spans|bins|chain|reps|bounds|ci)\b", rf"\1_{mark}", sql)
+
+
+def half_sql(late: str, mark: str) -> str:
+    values = f"SELECT s.metric, s.score, 0 AS now FROM v_scores s JOIN v_eval e USING (eval_id) WHERE {late} day(e.evaluated_at) > 15"
+    return renamed(binned_sql(values) + MULTINOMIAL_SQL + CI_SQL, mark)
+
+
+@query(f"""{half_sql("", "a")}{half_sql("NOT", "b")} SELECT a.metric, round(a.low - b.high, 6) AS ci_low, round(a.high - b.low, 6) AS ci_high FROM ci_a a JOIN ci_b b ON a.metric = b.metric""")
+def delta_interval(spark, sf_dir):
+    return rounded(statistics.delta_ci(*halves(spark, sf_dir), samples=REPLICATES), "ci_low", "ci_high")
+
+
+@query("""SELECT event_type AS model, round(sum(((event_id % 1000 + 100) * coalesce(i, 0) + (event_id % 700) * coalesce(o, 0)) / 1e6), 6) AS cost
+  FROM events LEFT JOIN (VALUES ('click', 1.0, 2.0), ('view', 3.0, 15.0), ('error', 2.0, 8.0)) m(name, i, o) ON event_type = name GROUP BY 1""")
+def cost_by_model(spark, sf_dir):
+    calls = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 1000 + 100).alias("tokens_in"), (F.col("event_id") % 700).alias("tokens_out"))
+    prices = spark.createDataFrame([("click", 1.0, 2.0), ("view", 3.0, 15.0), ("error", 2.0, 8.0)], "model string, price_in double, price_out double")
+    return rounded(statistics.total_cost(calls, prices), "cost")
+
+
+@query("SELECT call_id, count(*) AS n_below FROM v_eval JOIN v_sla USING (eval_id) WHERE score < sla GROUP BY 1")
+def below_counts(spark, sf_dir):
+    return served.below_counts(views.scores(spark, sf_dir), views.evaluations(spark, sf_dir))
+
+
 AUDIT_SQL = f"""{QA_SQL}, tr AS (SELECT call_id, string_agg('[' || upper(role) || '] ' || content, chr(10) ORDER BY turn_id) AS transcript FROM v_turns GROUP BY call_id
 ){CHUNKED_SQL.format(id="call_id", text="transcript", rel="tr")}
 , documents AS (SELECT sha256(sha256(concat(id, '|p|', p)) || '|c|' || c) AS doc_id, array_to_string(cw, ' ') AS text FROM c
