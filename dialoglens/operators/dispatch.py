@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoglens.operators.scoring import claim_faithfulness, claim_list, collapsed, ensembles, escalated, expected_score, nugget_recall
@@ -17,6 +17,8 @@ KEYS = ["qa_id", "metric"]
 OUT = [*KEYS, "evaluator", "score", "confidence", "is_low_confidence"]
 #: A plan's switches.
 SWITCHES = ("nugget", "claims", "ensemble", "calibration", "routing")
+# The named methods and the switches that they turn on.
+METHODS = {"quick": (), "high_trust": ("calibration", "ensemble", "claims"), "retrieval_diagnosis": ("nugget",), "safety_audit": ("claims",)}
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,12 @@ class Judgements:
     extra: DataFrame
 
 
+def method_plans(spark: SparkSession) -> DataFrame:
+    """A plan for each named method, by its name."""
+    rows = [(name, *(s in on for s in SWITCHES)) for name, on in METHODS.items()]
+    return spark.createDataFrame(rows, "plan_id string, " + ", ".join(f"{s} boolean" for s in SWITCHES))
+
+
 def active(plans: DataFrame) -> DataFrame:
     """``plan_id, active``: the names of the switches that are on."""
     return plans.select("plan_id", F.array_compact(F.array(*(F.when(F.col(s), F.lit(s)) for s in SWITCHES))).alias("active"))

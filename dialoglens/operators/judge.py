@@ -28,19 +28,31 @@ STATUSES = (408, 409, 429, 500, 502, 503, 504)
 class Provider(Protocol):
     def complete(self, prompts: Sequence[str]) -> list[str]: ...
 
+    def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
+
 
 def transient(error: BaseException) -> bool:
     status = getattr(error, "status_code", None) or getattr(error, "status", None)
     return status in STATUSES or any(x in type(error).__name__.lower() for x in TRANSIENT)
 
 
-def read_scores(answers: DataFrame) -> DataFrame:
-    """Replaces ``raw`` by ``score, reasoning``: those of a JSON object, or 0 and a parse error."""
+def read_scores(answers: DataFrame, failed: str = "zero") -> DataFrame:
+    """Replaces ``raw`` by ``score, reasoning``: those of a JSON object.
+
+    What can't be read has score 0 and a parse error (``zero``), has no row (``drop``, as calibration wants it),
+    or has neither score nor reasoning (``null``, for judges with defaults of their own).
+    """
+    if failed not in ("zero", "drop", "null"):
+        raise ValueError(f"unknown rule: {failed}")
     found = F.from_json("raw", "score string, reasoning string, bad string", {"columnNameOfCorruptRecord": "bad"})
     rows = answers.withColumn("found", found)
     score = F.when(F.col("found.bad").isNull(), F.expr("try_cast(found.score as double)"))
-    failed = F.concat(F.lit("Parse error: "), F.substring(F.coalesce("raw", F.lit("no answer")), 1, 80))
-    return rows.withColumns({"score": F.coalesce(score, F.lit(0.0)), "reasoning": F.when(score.isNull(), failed).otherwise(F.coalesce("found.reasoning", F.lit("")))}).drop("found", "raw")
+    said = F.coalesce("found.reasoning", F.lit(""))
+    if failed != "zero":
+        read = rows.withColumns({"score": score, "reasoning": F.when(score.isNotNull(), said)}).drop("found", "raw")
+        return read.where("score is not null") if failed == "drop" else read
+    error = F.concat(F.lit("Parse error: "), F.substring(F.coalesce("raw", F.lit("no answer")), 1, 80))
+    return rows.withColumns({"score": F.coalesce(score, F.lit(0.0)), "reasoning": F.when(score.isNull(), error).otherwise(said)}).drop("found", "raw")
 
 
 def requests(pairs: DataFrame, metrics: Sequence[str], samples: int = 1) -> DataFrame:
@@ -74,6 +86,33 @@ def with_opinions(prompt: Column, opinions: Column, most: int = 120) -> Column:
     return F.concat(prompt, F.lit("\n\nOther judges disagree. Weigh their opinions and give the final verdict.\n"), F.array_join(F.transform(opinions, line), "\n"))
 
 
+def tried(call, items: list, retries: int, wait: float) -> list:
+    """The call's results; None for each item where it fails for good. Passing errors are tried again with growing waits."""
+    for turn in range(retries + 1):
+        try:
+            return list(call(items))
+        except Exception as error:  # noqa: BLE001 - a provider may fail in any way
+            if not transient(error):
+                break
+            if turn < retries:
+                time.sleep(wait * 2**turn)
+    return [None] * len(items)
+
+
+def embedded(texts: DataFrame, id_col: str, text_col: str, provider: Provider, batch: int = 64, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """``id_col, v``: a provider's vectors of texts, a batch at a time within tasks; null where it failed."""
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                rows = frame.iloc[at : at + batch]
+                found = tried(provider.embed, rows["text"].tolist(), retries, wait)
+                yield pd.DataFrame({id_col: rows[id_col].tolist(), "v": found})
+
+    return texts.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"{id_col} {kind}, v array<double>")
+
+
 def judged(pairs: DataFrame, provider: Provider, metrics: Sequence[str], samples: int = 1, batch: int = 64, retries: int = 3, wait: float = 1.0, budget: int | None = None) -> DataFrame:
     """``qa_id, metric, sample, score, reasoning, tokens`` for each pair, metric and sample.
 
@@ -88,22 +127,11 @@ def judged(pairs: DataFrame, provider: Provider, metrics: Sequence[str], samples
         cut = within_budget(each, ["qa_id", "metric", "sample"], F.col("tokens"), budget, scale=1)
         each, skipped = cut.where("kept").drop("spent", "kept"), cut.where("not kept").select("qa_id", "metric", "sample")
 
-    def ask(prompts: list[str]) -> list[str | None]:
-        for turn in range(retries + 1):
-            try:
-                return list(provider.complete(prompts))
-            except Exception as error:  # noqa: BLE001 - a provider may fail in any way
-                if not transient(error):
-                    break
-                if turn < retries:
-                    time.sleep(wait * 2**turn)
-        return [None] * len(prompts)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 rows = frame.iloc[at : at + batch]
-                yield rows.assign(raw=ask(rows["prompt"].tolist())).drop(columns="prompt")
+                yield rows.assign(raw=tried(provider.complete, rows["prompt"].tolist(), retries, wait)).drop(columns="prompt")
 
     kind = pairs.schema["qa_id"].dataType.simpleString()
     out = read_scores(each.mapInPandas(run, f"qa_id {kind}, metric string, sample int, tokens long, raw string"))

@@ -211,6 +211,31 @@ def test_only_passing_errors_are_tried_again(spark, tmp_path, error, calls, scor
     assert [r["score"] for r in got] == [score] and len((tmp_path / "calls").read_text()) == calls
 
 
+def test_rules_for_answers_that_cannot_be_read(spark):
+    answers = spark.createDataFrame([(1, '{"score": 0.5}'), (2, "no")], "qa_id long, raw string")
+    read = lambda rule: [(r["qa_id"], r["score"]) for r in judge.read_scores(answers, rule).orderBy("qa_id").collect()]
+    assert read("zero") == [(1, 0.5), (2, 0.0)] and read("drop") == [(1, 0.5)] and read("null") == [(1, 0.5), (2, None)]
+    with pytest.raises(ValueError):
+        judge.read_scores(answers, "else")
+
+
+def test_embeddings_of_a_provider(spark):
+    class Lengths:
+        def embed(self, texts):
+            if "bad" in texts:
+                raise ValueError
+            return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "bad")], "id long, t string").coalesce(1)
+    got = {r["id"]: r["v"] for r in judge.embedded(df, "id", "t", Lengths(), batch=2).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: None}
+
+
+def test_named_methods(spark):
+    on = {r["plan_id"]: set(r["active"]) for r in dispatch.active(dispatch.method_plans(spark)).collect()}
+    assert on == {k: set(v) for k, v in dispatch.METHODS.items()} and on["quick"] == set()
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_the_prompt_budget_holds_for_all_tasks(spark, tmp_path, parts):
     pairs = spark.createDataFrame([(f"q{i}", "a b c", "d e") for i in range(10)], "qa_id string, question string, answer string").repartition(parts)
