@@ -36,9 +36,8 @@ def test_matches_sql(spark, sf, con, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(audit.QUERIES) - set(audit.ORACLE)))
-def test_runs(spark, sf, name):
-    assert audit.QUERIES[name](spark, sf).count() > 0
+def test_every_audit_query_has_sql():
+    assert set(audit.QUERIES) == set(audit.ORACLE)
 
 
 @pytest.mark.parametrize("name", ["sla_group_by", "tenant_trends_day", "tenant_trends_run", "run_trends", "previous_run_delta"])
