@@ -13,6 +13,7 @@ from dialoglens.functions.text import evidence_sentences
 from dialoglens.operators import retrieval, scoring, statistics, turns
 from dialoglens.plans import served
 from dialoglens.sources import views
+from dialoglens.sources.storage import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,7 +91,7 @@ def transcripts(spark, sf_dir):
 @query("""SELECT metric, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.9), 6) AS p90,
   count(*) FILTER (score < sla) AS below_sla_count, count(*) AS total_count, round(1 - count(*) FILTER (score < sla) / count(*), 6) AS sla_pass_rate FROM v_sla GROUP BY metric""")
 def sla_summary(spark, sf_dir):
-    return rounded(statistics.sla_summary(views.scores(spark, sf_dir)), "mean", "median", "p10", "p90", "sla_pass_rate")
+    return rounded(statistics.sla_summary(kept(views.scores(spark, sf_dir).select("metric", "score"), "scores")), "mean", "median", "p10", "p90", "sla_pass_rate")
 
 
 @query(f"""SELECT CASE WHEN grouping(call_id) = 0 THEN 'call' WHEN grouping(tenant_id) = 0 THEN 'tenant' WHEN grouping(day) = 0 THEN 'day' ELSE 'all' END AS grouping,
