@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dialoglens.llm.compact_windows import repeated_passages
 from dialoglens.llm import conversation_repair as cr
 from dialoglens.llm import oracles, queries
 from dialoglens.llm.bpe import Bpe, bpe_decode, bpe_encode
@@ -245,3 +246,48 @@ def test_word_hashes_tell_patterns_apart(spark):
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(spec).ids(pa.array(texts))] == [tokens.encode(t, add_special_tokens=False).ids for t in texts]
     docs = spark.createDataFrame(list(enumerate(thue_morse(1024), 1)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join(docs).collect()} == {1: 1, 2: 2}
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    import corpus_pipeline
+
+    for seed in range(3):
+        rng = random.Random(seed)
+
+        def fresh(n):
+            return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+
+        shared, other = fresh(80), fresh(70)
+        rows = [(1, f"{fresh(30)} {shared}"), (2, fresh(140)), (2, f"{shared} {fresh(40)}"), (3, f"{fresh(20)} {other}"), (3, f"{other} {fresh(20)}"), (3, None), (4, fresh(90))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = repeated_passages(docs).collect()
+        assert sorted((r["doc_id"], r["source_doc_id"], r["n_words"]) for r in got) == [(2, 1, 80), (3, 3, 70)]
+        left = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.by_compact_windows(spark, docs, "").collect())
+        # the text of id 2 that repeats nothing is whole, one of id 3 keeps what both hold
+        assert (1, rows[0][1]) in left and (2, rows[1][1]) in left and sum(shared in t for _, t in left) == 1
+        assert sum(other in t for _, t in left) == 1 and len(left) == 7 and sum(len(t.split()) for _, t in left) == 110 + 140 + 40 + 90 + 20 + 90
+
+
+def test_shared_passages_against_plain_python():
+    from dialoglens.llm.compact_windows import Settings, shared_passages
+
+    s, rng = Settings(words=12), np.random.default_rng(5)
+    group, doc = np.sort(rng.integers(0, 3, 40)), np.zeros(40, np.int64)
+    for g in range(3):
+        doc[group == g] = np.sort(rng.integers(0, 9, (group == g).sum()))
+    context = rng.integers(0, 12, (40, 2 * s.reach + 1)).astype(np.uint16)
+    smaller, other = shared_passages(group, doc, context, s)
+    for m in range(40):
+        for which, found in ((lambda d: d < doc[m], smaller), (lambda d: d != doc[m], other)):
+            held = {x for i in range(40) if group[i] == group[m] and which(doc[i]) for x in context[i].tolist()} - {0}
+            for p in range(s.least):
+                first = s.reach - s.least + 1 + p
+                assert found[m, p] == (sum(x in held for x in context[m, first : first + s.least].tolist()) >= s.enough)
+
+
+def test_near_duplicates_with_a_column_that_has_no_order(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"a": 2}), (2, text, {}), (3, "other words", None)], "doc_id long, text string, more map<string,int>")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.by_jaccard_join(spark, docs, "").collect()) == [1, 3]
