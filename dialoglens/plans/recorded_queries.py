@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dialoglens.config import METRICS
 from dialoglens.functions.pii import EXTENDED, KOREAN, detected
 from dialoglens.functions.numbers import score_band
-from dialoglens.functions.text import context_block, grounding, pooled_grounding, sentences, without_numbering, words
+from dialoglens.functions.text import context_block, grounding, overlap, pooled_grounding, sentences, without_numbering, words
 from dialoglens.operators import dispatch, judge, retrieval, scoring, statistics, turns
 from dialoglens.plans import served
 from dialoglens.plans.queries import BM25_SQL, CI_SQL, EVAL, EVAL_COLUMNS, EXACT, HASHED_SQL, MEANS_SQL, MULTINOMIAL_SQL, QA_SQL, REPLICATES, TERMS_SQL, binned_sql, corpus, halves, mod_100_sql, query, rounded, tokens_sql, trend_sql
@@ -102,9 +102,30 @@ def upsert_latest(spark, sf_dir):
     return rounded(table.drop("event_id"), "score", "confidence")
 
 
+def judge_word_sql(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""{QA_SQL}, tr AS (SELECT call_id, string_agg('[' || upper(role) || '] ' || content, chr(10) ORDER BY turn_id) AS c FROM v_turns GROUP BY call_id
+), w AS (SELECT q.call_id, turn_index, {judge_word_sql("question")} AS q, {judge_word_sql("answer")} AS a, {judge_word_sql("c")} AS c FROM v_qa q JOIN tr USING (call_id)
+), m AS (SELECT call_id, turn_index, unnest(['faithfulness', 'answer_relevance', 'context_precision', 'context_recall']) AS metric, unnest([a, a, c, q]) AS of_, unnest([c, q, q, c]) AS among FROM w)
+SELECT call_id, turn_index, metric, CASE WHEN len(of_) = 0 THEN 0::DOUBLE ELSE len(list_intersect(of_, among)) / len(of_) END AS score FROM m""")
+def judge_batches(spark, sf_dir):
+    """All question-answer pairs and metrics through the judges' boundary; the recorded answers are shares of words, from the texts."""
+    rows = views.turns(spark, sf_dir)
+    pairs = kept(turns.question_answer_pairs(rows).join(turns.transcripts(rows), "call_id"), "pairs")
+    q, a, c = (F.array_distinct(words(F.lower(x))) for x in ("question", "answer", "transcript"))
+    sets = pairs.select("qa_id", q.alias("q"), a.alias("a"), c.alias("c"))
+    share = {"faithfulness": ("a", "c"), "answer_relevance": ("a", "q"), "context_precision": ("c", "q"), "context_recall": ("q", "c")}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), overlap(F.col(x), F.col(y)).alias("score")) for m, (x, y) in share.items())))
+    answers = sets.select("qa_id", each.alias("s")).select("qa_id", "s.metric", F.lit(0).alias("sample"), F.to_json(F.struct("s.score", F.lit("shared words").alias("reasoning"))).alias("raw"))
+    found = judge.recorded(judge.requests(pairs, list(share)), answers)
+    return found.join(pairs.select("qa_id", "call_id", "turn_index"), "qa_id").select("call_id", "turn_index", "metric", "score")
+
+
 @query("""SELECT eval_id, metric, event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 0 ELSE round(score, 3) END AS score,
   CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'failed' ELSE event_id::VARCHAR END AS reasoning FROM v_events""")
-def judge_batches(spark, sf_dir):
+def recorded_answers(spark, sf_dir):
     """Recorded answers of all events: JSON objects, some cut short and some missing."""
     rows = views.with_eval(spark, sf_dir).select("event_id", F.col("eval_id").alias("qa_id"), "metric", F.col("event_id").alias("sample"), "score")
     answer = F.to_json(F.struct(F.round("score", 3).alias("score"), F.col("event_id").cast("string").alias("reasoning")))
