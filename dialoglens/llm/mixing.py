@@ -27,15 +27,14 @@ class Targets:
 
     Tempering raises the observed shares to the power ``temper`` (1 keeps them, 0 makes them equal).
     ``budget`` is the share of all tokens that the sample should hold; where a cell can't give as much as the
-    targets ask, all of it is taken and the others give more. ``topics`` clusters are fitted on at most
-    ``sample`` texts, those with the smallest hash of their id, and every text is dealt to one.
+    targets ask, all of it is taken and the others give more. ``topics`` clusters are fitted on
+    all texts with words, and every text is dealt to one.
     """
 
     shares: Mapping[str, Mapping[str, float]] | None = None
     temper: Mapping[str, float] | None = None
     budget: float = 0.6
     topics: int = 8
-    sample: int = 20_000
     rounds: int = 100
     tolerance: float = 1e-9
     seed: int = 17
@@ -59,18 +58,52 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12), n
 
 
-def clusters(rows: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Unit-length centres by k-means on the sphere; each starts at the row that is farthest from those before."""
-    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-    centres = rows[:1]
-    while len(centres) < min(k, len(rows)):
-        centres = np.vstack([centres, rows[np.argmin((rows @ centres.T).max(axis=1))]])
-    for _ in range(rounds):
-        at = np.argmax(rows @ centres.T, axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, rows)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
+
+
+def directions(column: pa.Array | pa.ChunkedArray, mean: np.ndarray) -> np.ndarray:
+    rows = matrix(column) - mean
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def clusters(bags: DataFrame, mean: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
+    """Unit-length centres by k-means on the sphere over all rows (``doc_id, bag``); each starts at the row that is
+    farthest from those before. A pass sends one row or ``k`` sums from each task."""
+    keyed = bags.select(F.xxhash64(F.lit(seed), "doc_id").alias("tie"), "doc_id", "bag")
+    centres = directions(keyed.orderBy("tie", "doc_id", "bag").limit(1).select("bag").toArrow().column("bag"), mean)
+
+    def farthest(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            near = np.round((directions(b.column("bag"), mean) @ centres.T).max(axis=1), 9)
+            few = b.take(pa.array(np.flatnonzero(near == near.min()))) if b.num_rows else b
+            for tie, doc, bag in zip(*(c.to_pylist() for c in few.columns), strict=True):
+                best = min(best or (np.inf,), (float(near.min()), tie, doc is not None, doc or 0, bag))
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (best[0], best[1], best[4])], ["near", "tie", "bag"])
+
+    def sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centres), DIMENSIONS), np.int64)
+        for b in batches:
+            rows = directions(b.column("bag"), mean)
+            at = np.argmax(rows @ centres.T, axis=1)
+            np.add.at(total, at, np.round(rows * 1e6).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "total"])
+
+    while 0 < len(centres) < k:
+        found = keyed.mapInArrow(lambda batches, c=centres: farthest(batches, c), "near double, tie long, bag binary")
+        row = found.orderBy("near", "tie", "bag").limit(1).toArrow()
+        if row.column("near")[0].as_py() >= 1 - 1e-9:  # no more directions than centres
+            break
+        centres = np.vstack([centres, directions(row.column("bag"), mean)])
+    for _ in range(rounds if len(centres) else 0):
+        found = keyed.mapInArrow(lambda batches, c=centres: sums(batches, c), "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).orderBy("at").toArrow()
+        total = found.column("total").to_numpy().reshape(len(centres), DIMENSIONS) / 1e6
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        before, centres = centres, np.where(size > 0, total / np.maximum(size, 1e-12), centres)
+        if np.array_equal(before, centres):
+            break
     return centres
 
 
@@ -89,9 +122,6 @@ def with_cells(docs: DataFrame, targets: Targets, id_col: str, text_col: str) ->
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     rows = Scratch(spark, "mixing").save(narrow.mapInArrow(run, "doc_id long, source string, lang string, bag binary, n_tokens long"), "bags")
 
-    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
-
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS), 0
         for b in batches:
@@ -102,8 +132,8 @@ def with_cells(docs: DataFrame, targets: Targets, id_col: str, text_col: str) ->
     # a row for each of the 64 places
     total = some.select("bag").mapInArrow(sums, "at long, total long, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).orderBy("at").toArrow()
     mean = total.column("total").to_numpy() / 1e6 / np.maximum(total.column("n").to_numpy(), 1) if total.num_rows else np.zeros(DIMENSIONS)
-    sample = matrix(some.orderBy(F.xxhash64(F.lit(targets.seed), "doc_id"), "doc_id", "bag").limit(targets.sample).select("bag").toArrow().column("bag"))
-    shared = spark.sparkContext.broadcast((mean, clusters(sample - mean, targets.topics) if len(sample) else np.zeros((1, DIMENSIONS))))
+    centres = clusters(some, mean, targets.topics, targets.seed)
+    shared = spark.sparkContext.broadcast((mean, centres if len(centres) else np.zeros((1, DIMENSIONS))))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, centres = shared.value
