@@ -210,14 +210,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     likely = scratch.save(shared.join(need, "doc_id").where("shared >= need").select("doc_id"), "likely")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, limit=PART):
+        for part in parts(map(bloom.among, batches), limit=PART):
             own = shingle_sets(part.column("text"), s.width)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "n", "keys"])
 
     bloom = BlockedBloom.of(likely, "doc_id")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.where(bloom.may_hold(F.col("doc_id"))).join(likely, "doc_id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(whole, "doc_id long, n long, keys binary").where("n > 0").dropDuplicates(["doc_id", "keys"]), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    found = texts.select("doc_id", "text", *bloom.probes(F.col("doc_id"))).mapInArrow(whole, "doc_id long, n long, keys binary").where("n > 0")
+    sets = scratch.save(found.join(likely, "doc_id", "left_semi").dropDuplicates(["doc_id", "keys"]), "sets")
     postings = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ordered = scratch.save(ordered_sets(sets, n_ranges(postings), s.percent), "ordered")
     families = components(prefix_edges(ordered, s.percent), scratch, "blocks")
