@@ -466,12 +466,14 @@ def log_files(spark, sf_dir):
     calls = rows.groupBy("call_id", "id").agg(said.alias("t"))
     subscriber = F.concat(F.lit("S"), F.col("id"))
     listed = calls.where(kind == 0).select(F.col("call_id").alias("c"), F.struct(F.col("id").alias("call_id"), subscriber.alias("subscriber_id"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("turns")).alias("o"))
-    listed.select("c", "o.*").repartition("c").write.partitionBy("c").json(f"{path}/json")
+    # a row is a file; a folder for each call would cost as much as its file. Files take the time, not bytes, so all cores get some
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    listed.repartition(tasks, "c").select("o.*").write.option("maxRecordsPerFile", 1).json(f"{path}/json")
     table = rows.where(kind == 1).select(F.col("call_id").alias("c"), "id", subscriber.alias("subscriber_id"), F.lit("").alias("timestamp"), "role", "content", "place").withColumnRenamed("id", "call_id")
-    table.repartition("c").sortWithinPartitions("c", "place").drop("place").write.partitionBy("c").option("header", True).option("escape", '"').csv(f"{path}/csv")
+    table.repartition(tasks, "c").sortWithinPartitions("c", "place").drop("place").write.partitionBy("c").option("header", True).option("escape", '"').csv(f"{path}/csv")
     line = lambda x: F.concat(F.lit("[-] "), F.upper(x["role"]), F.lit(": "), F.regexp_replace(x["content"], r"\s+", " "))
     head = F.concat(F.lit("[CALL_ID: "), F.col("id"), F.lit("] [SUBSCRIBER: "), subscriber, F.lit("]"))
-    calls.where(kind == 2).select(F.col("call_id").alias("c"), F.array_join(F.concat(F.array(head), F.transform("t", line)), "\n").alias("value")).repartition("c").write.partitionBy("c").text(f"{path}/text")
+    calls.where(kind == 2).repartition(tasks, "call_id").select(F.array_join(F.concat(F.array(head), F.transform("t", line)), "\n").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/text")
     spark.createDataFrame([("{",)], "value string").coalesce(1).write.text(f"{path}/bad")
     return call_logs.scan_call_logs(spark, path).turns.select("call_id", "subscriber_id", F.col("turn_id").cast("long").alias("turn_id"), "role", "content")
 

@@ -138,6 +138,8 @@ def text_turns(text: str, shortest: int) -> tuple[dict, list[tuple]]:
     return ids, rows
 
 
+#: Tasks for each core that read a folder's files; a task holds some of them at a time.
+TASKS = 8
 KINDS = {"json": json_turns, "csv": csv_turns, "txt": text_turns}
 PARSED = "path string, reason string, call_id string, subscriber_id string, started_at string, ended_at string, turns array<struct<turn_id: int, role: string, content: string, said_at: string>>"
 
@@ -170,6 +172,8 @@ def scan_call_logs(spark: SparkSession, folder: str, shortest: int = 5) -> Logs:
     A file lies in one task whole, as a call log is one call. Turns are those of ``read_call_logs``.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+    # Spark deals a few files to a task, and each task would write a file of its own
+    raw = raw.coalesce(TASKS * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
