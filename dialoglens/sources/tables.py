@@ -108,10 +108,12 @@ class ChunkIndex:
 
     def rows(self, texts: DataFrame) -> DataFrame:
         """``source_id, text_hash, chunk_id, parent_chunk_id, content, token_count, v``; a text without words has one row without a chunk."""
-        cut = chunked(texts, "source_id", "text").where("level = 'child'").drop("level")
-        whole = cut.join(hashed_vectors(cut, "chunk_id", "content"), "chunk_id")
-        ids = texts.select("source_id", "text_hash")
-        return ids.join(whole, "source_id", "left").select("source_id", "text_hash", "chunk_id", "parent_chunk_id", "content", "token_count", "v")
+        cut = chunked(texts, "source_id", "text", also=["text_hash"]).where("level = 'child'")
+        names = ["source_id", "text_hash", "chunk_id", "parent_chunk_id", "content", "token_count"]
+        # vectors are added to the chunks' own rows, so that texts are cut once and no content is shuffled
+        whole = hashed_vectors(cut, "source_id", "content", also=names[1:])
+        bare = texts.where(~F.coalesce("text", F.lit("")).rlike(r"\S")).select("source_id", "text_hash")
+        return whole.select(*names, "v").unionByName(bare, allowMissingColumns=True)
 
     @staticmethod
     def named(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
