@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dialoglens.functions import numbers
 from dialoglens.operators import bm25, ordered, quantiles, resampling, retrieval, statistics, vectors
+from dialoglens.sources.storage import kept
 
 
 @pytest.mark.parametrize(("few", "bins"), [(200_000, 4096), (3, 4), (1, 2)])
@@ -140,3 +142,27 @@ def test_vector_search_in_blocks(spark, monkeypatch):
         found = retrieval.vector_search(q, v, 5)
         assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()} == want
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vector_search_bounds_a_block_by_its_best_rows(spark, monkeypatch):
+    """Short vectors: many queries fit few bytes, but each holds k rows; no block leaves any out."""
+    rng = np.random.default_rng(7)
+    held = {i: [float(x) for x in rng.normal(size=2)] for i in range(80)}
+    v = kept(spark.createDataFrame(list(held.items()), "vec_id long, v array<double>").repartition(3))
+    q = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    units = {i: np.array(x) / np.linalg.norm(x) for i, x in held.items()}
+    want = {(i, r): s[1] for i in range(0, 80, 2) for r, s in enumerate(sorted(((round(float(units[i] @ x), 9), j) for j, x in units.items()), reverse=True)[:20])}
+    monkeypatch.setattr(vectors, "BYTES", 8192)
+    found = retrieval.vector_search(q, v, 20)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 5  # 40 queries of 16 bytes and 20 rows; one block by the vectors alone
+    assert "LogicalRDD" not in plan  # an empty part would start Python workers of its own
+    none = retrieval.vector_search(q.where("query_id < 0"), v, 20)
+    assert none.schema.simpleString() == found.schema.simpleString() and none.collect() == []
+
+
+def test_unit_takes_the_norm_once(spark):
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, []), (3, None), (4, [1.0, None])], "i int, v array<double>")
+    assert numbers.unit(F.col("v"))._jc.toString().count("aggregate") == 1
+    assert [r["u"] for r in rows.select("i", numbers.unit(F.col("v")).alias("u")).orderBy("i").collect()] == [[0.6, 0.8], [0.0, 0.0], [], None, [None, None]]
